@@ -59,9 +59,16 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         sums = np.zeros(len(buf) + 1, U)
         np.cumsum((self.buf.astype(U) + U(1)) * _pow("up", len(buf)), out=sums[1:])
+        self.sums = sums
         self.hash = mix((sums[self.end] - sums[self.start]) * _pow("down", len(buf) + 1)[self.start] + (self.end - self.start).astype(U))
         self.first = np.searchsorted(self.start, self.text_at)
 
+    def prefixes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which words have more than k bytes, hashes of their first k)."""
+        long = np.flatnonzero(self.end - self.start > k)
+        at = self.start[long]
+        return long, mix((self.sums[at + k] - self.sums[at]) * _pow("down", len(self.buf) + 1)[at] + U(k + 1000))
+
     def windows(self, k: int) -> np.ndarray:
         """Hash of the k words that begin at each word; windows may run over the end of a text."""
         n = len(self.hash) - k + 1

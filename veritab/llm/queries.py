@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, secrets
+from . import bpe, decontaminate, dedup_join, html_text, language, quality, secrets, substring, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_text.query,
+        "op2_warc": warc.query,
+        "op3_suffix_dedup": substring.query,
         "op4_quality_rules": quality.query,
         "op5_secret_scans": secrets.query,
+        "op6_ngram_jaccard_join": dedup_join.query,
         "op7_decontamination": decontaminate.query,
+        "op8_language_id": language.query,
+        "op9_toxicity": toxicity.query,
         "op10_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_decontamination": decontaminate.SQL}
+    return {"op2_warc": warc.SQL, "op6_ngram_jaccard_join": dedup_join.SQL, "op7_decontamination": decontaminate.SQL}
