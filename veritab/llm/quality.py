@@ -6,7 +6,7 @@ centre by Mahalanobis distance are rejected.
 
 Defined results: a null text has no words (base_failed); null lang or source is a group of its own; groups of fewer than
 `min_group` rows use the estimate of their language, and small languages that of all rows; rows are judged one by one, so
-repeated ids and ties stay as they are; an empty table gives an empty result; other columns pass through `judge` untouched.
+repeated ids and ties stay as they are; an empty table gives an empty result; other columns pass through `keep` untouched.
 """
 
 from __future__ import annotations
@@ -101,15 +101,20 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", F.expr(" + ".join(f"y{i} * y{i}" for i in range(1, DIMS + 1)))).drop(*[f"y{i}" for i in range(1, DIMS + 1)])
 
 
-def fit(docs: DataFrame, steps: int = STEPS, core: float = CORE, min_group: int = MIN_GROUP) -> DataFrame:
-    """The estimate for each (lang, source) of docs: columns lang, source, m1.., l11.., factor.
+def measured(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics of docs with the columns `keys`, written: numbers only, so texts are read and cut into words once."""
+    s = statistics(docs).select(*[F.col(f"_row.`{k}`").alias(k) for k in keys], F.coalesce("_row.lang", F.lit("\x02")).alias("_lang"), F.coalesce("_row.source", F.lit("\x02")).alias("_source"), "_q.*")
+    return written(s, "mcd-rows")
+
+
+def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, min_group: int = MIN_GROUP) -> DataFrame:
+    """The estimate for each language and source of rows (as of `measured`): columns _lang, _source, m1.., l11...
 
     Two starts, all rows and the rows without symbols and repetition, take concentration steps; the one with the lesser
     determinant wins. Order statistics come from histograms of the distance on a fixed logarithmic grid, so a
     group of any size meets as a bounded number of counts.
     """
-    s = statistics(docs).where("not _q.base_failed").select(F.coalesce("_row.lang", F.lit("\x02")).alias("lang"), F.coalesce("_row.source", F.lit("\x02")).alias("source"), *[f"_q.x{i}" for i in range(1, DIMS + 1)])
-    s = written(s, "mcd-rows")
+    s = rows.where("not base_failed").select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[f"x{i}" for i in range(1, DIMS + 1)])
     counts = s.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     by_lang = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"))
     level = written(
@@ -133,7 +138,7 @@ def fit(docs: DataFrame, steps: int = STEPS, core: float = CORE, min_group: int
         )
         p = written(_estimates(d.drop("n", "logdet").join(cut, ["g", "start"]).where("bin <= last"), ["g", "start"]), "mcd-step")
     best = p.groupBy("g").agg(F.min(F.struct("logdet", "start", *[f"m{i}" for i in range(1, DIMS + 1)], *[f"l{i}{j}" for i, j in _tri()])).alias("b")).select("g", "b.*")
-    return written(level.join(best, "g").drop("g", "start"), "mcd-fit")
+    return written(level.join(best, "g").drop("g", "start").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "mcd-fit")
 
 
 def consistency(core: float = CORE) -> float:
@@ -149,20 +154,27 @@ def consistency(core: float = CORE) -> float:
     return core / seven
 
 
-def judge(docs: DataFrame, estimates: DataFrame | None = None, cut: float = CUT) -> DataFrame:
-    """docs with a struct `_q`: the counts, base_failed, d2 and kept. No row is dropped."""
-    estimates = fit(docs) if estimates is None else estimates
-    s = statistics(docs)
-    e = estimates.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[c for c in estimates.columns if c not in ("lang", "source")])
-    j = s.select("_row", "_q", *[f"_q.x{i}" for i in range(1, DIMS + 1)], F.coalesce("_row.lang", F.lit("\x02")).alias("_lang"), F.coalesce("_row.source", F.lit("\x02")).alias("_source")).join(e, ["_lang", "_source"], "left")
-    j = _distance(j)
+def _verdict(rows: DataFrame, estimates: DataFrame, cut: float) -> DataFrame:
+    """Adds d2 and kept to rows with _lang, _source and the statistics."""
+    j = _distance(rows.join(estimates, ["_lang", "_source"], "left"))
     far = F.coalesce(F.col("d2") / consistency() > cut, F.lit(False))
-    q = F.struct("_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", F.col("d2"), (~F.col("_q.base_failed") & ~far).alias("kept"))
-    return j.select("_row.*", q.alias("_q"))
+    return j.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def report(docs: DataFrame, cut: float = CUT) -> DataFrame:
+    """For each row of docs (doc_id, text, lang, source): doc_id, the counts, base_failed, kept and d2."""
+    rows = measured(docs, ["doc_id"])
+    return _verdict(rows, fit(rows), cut).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+def keep(docs: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of docs that are kept, with their columns. The texts are cut into words again rather than shuffled to a verdict."""
+    estimates = fit(measured(docs, []))
+    s = statistics(docs).select("_row", F.coalesce("_row.lang", F.lit("\x02")).alias("_lang"), F.coalesce("_row.source", F.lit("\x02")).alias("_source"), "_q.*")
+    return _verdict(s.where("not base_failed"), estimates, cut).where("kept").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    q = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return q.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "_q.kept", "_q.d2")
+    return report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
