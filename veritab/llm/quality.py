@@ -19,6 +19,7 @@ from .common import written
 
 WS = r"[ \\x09-\\x0D]"
 DIMS = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Standard deviations that are added to the estimates: below such a spread a statistic does not count as varying.
 FLOORS = (0.6, 0.12, 0.25, 0.3, 0.2)
 #: Share of a group's rows whose covariance is sought.
@@ -37,9 +38,9 @@ def _let(df: DataFrame, **cols: str | Column) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs with a column `_q`: a struct of the counts of the base rules and the vector x1 .. x5."""
-    own = docs.columns
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
+    """docs, its columns as _o0, _o1, ..., with the counts of the base rules, base_failed and the vector x1 .. x5."""
+    own = [f"_o{i}" for i in range(len(docs.columns))]
+    d = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)], F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     d = _let(d, _w=f"filter(split(_t, '{WS}+'), x -> x <> '')")
     d = _let(d, _n="size(_w)", _g="zip_with(zip_with(_w, slice(_w, 2, greatest(size(_w), 1)), (a, b) -> xxhash64(a, b)), slice(_w, 3, greatest(size(_w), 1)), (h, c) -> if(c is null, null, xxhash64(h, c)))", _l=f"filter(split(_t, '\\n'), x -> x rlike '[^ \\\\x09-\\\\x0D]')")
     d = d.drop("_w")
@@ -67,8 +68,13 @@ def statistics(docs: DataFrame) -> DataFrame:
         x4="n_dup_lines / greatest(_lines, 1)",
         x5="n_repeat_words / greatest(n_words, 1)",
     )
-    q = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{i}" for i in range(1, DIMS + 1))]
-    return d.select("_row", F.struct(*q).alias("_q"))
+    return d.select(*own, *COUNTS, *[f"x{i}" for i in range(1, DIMS + 1)])
+
+
+def _of(docs: DataFrame, column: str, otherwise: str | None = None) -> Column:
+    """A column of docs in the statistics of docs."""
+    c = F.col(f"_o{docs.columns.index(column)}")
+    return c if otherwise is None else F.coalesce(c, F.lit(otherwise))
 
 
 def _groups(s: DataFrame) -> DataFrame:
@@ -103,7 +109,8 @@ def _distance(df: DataFrame) -> DataFrame:
 
 def measured(docs: DataFrame, keys: list[str]) -> DataFrame:
     """The statistics of docs with the columns `keys`, written: numbers only, so texts are read and cut into words once."""
-    s = statistics(docs).select(*[F.col(f"_row.`{k}`").alias(k) for k in keys], F.coalesce("_row.lang", F.lit("\x02")).alias("_lang"), F.coalesce("_row.source", F.lit("\x02")).alias("_source"), "_q.*")
+    used = docs.select(*dict.fromkeys([*keys, "text", "lang", "source"]))
+    s = statistics(used).select(*[_of(used, k).alias(k) for k in keys], _of(used, "lang", "\x02").alias("_lang"), _of(used, "source", "\x02").alias("_source"), *COUNTS, *[f"x{i}" for i in range(1, DIMS + 1)])
     return written(s, "mcd-rows")
 
 
@@ -170,8 +177,8 @@ def report(docs: DataFrame, cut: float = CUT) -> DataFrame:
 def keep(docs: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs that are kept, with their columns. The texts are cut into words again rather than shuffled to a verdict."""
     estimates = fit(measured(docs, []))
-    s = statistics(docs).select("_row", F.coalesce("_row.lang", F.lit("\x02")).alias("_lang"), F.coalesce("_row.source", F.lit("\x02")).alias("_source"), "_q.*")
-    return _verdict(s.where("not base_failed"), estimates, cut).where("kept").select("_row.*")
+    s = statistics(docs).where("not base_failed").withColumn("_lang", _of(docs, "lang", "\x02")).withColumn("_source", _of(docs, "source", "\x02"))
+    return _verdict(s, estimates, cut).where("kept").select(*[_of(docs, c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
