@@ -79,7 +79,7 @@ def _measure(m: _Measured, df: DataFrame, columns: list[int], long: bool, o: Pro
                 m.shapes.setdefault(r["c"], []).append((r["shape"], r["n"]))
         finally:
             shapes.unpersist()
-        few = [c for c in columns if _enumerable(m.stats[c], o)]
+        few = [c for c in columns if c in m.stats and _enumerable(m.stats[c], o)]
         if few:
             # at most max_enum_cardinality values a column pass the filter
             counts = h.where(F.col("c").isin(few) & F.col("t").isNotNull()).groupBy("c", "t").agg(F.sum("n").alias("n"))
