@@ -1,0 +1,612 @@
+"""Each operator against a plain version of itself, on small tables with the odd cases: nulls, empty and very long texts, ties,
+repeated rows, empty tables, extra columns of clashing names."""
+
+import hashlib
+import html
+import math
+import random
+import re
+import struct
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from veritab.llm import bpe, bytehash, decontaminate, dedup_join, html_text, language, quality, secrets, substring, toxicity, warc
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Columns that an operator might use itself.
+CLASHING = ", ".join(f"{c} string" for c in ("n", "u", "v", "label", "bits", "part", "digest", "score", "_lang", "g", "start", "kept", "x1", "n_words"))
+
+
+def words(r: random.Random, n: int) -> str:
+    pool = ["alpha", "beta", "gamma", "delta", "the", "of", "and", "zeta", "eta", "theta", "Iota", "kappa,", "Lambda.", "mü", "νυ", "日本"]
+    return " ".join(r.choice(pool) + (str(r.randint(0, 99)) if r.random() < 0.7 else "") + r.choice(["", "", "", ".", "\n"]) for _ in range(n))
+
+
+def documents(seed: int = 1, n: int = 60) -> list[tuple]:
+    r = random.Random(seed)
+    out = [(i, words(r, r.randint(1, 150)), r.choice(["en", "de", None]), r.choice(["a", "b", None]), 0) for i in range(n)]
+    base = words(r, 120)
+    out += [(100 + i, base, "en", "a", 0) for i in range(5)]  # copies
+    for i in range(6):  # near copies
+        w = base.split(" ")
+        w[r.randrange(len(w))] = "changed"
+        out.append((200 + i, " ".join(w), "en", "a", 0))
+    out += [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "  \n\t ", "en", "a", 0), (303, words(r, 9000), "en", "a", 0), (304, "a" * 5000, "en", "b", 0)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def text_of(rows) -> dict:
+    return {r[0]: r[1] or "" for r in rows}
+
+
+# ── the hash of words ────────────────────────────────────────────────────────
+
+
+def test_words_are_those_of_the_pattern():
+    texts = [t or "" for t in text_of(documents()).values()]
+    w = bytehash.Words(bytehash.utf8(texts), bytehash.ALNUM)
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    got = [[w.buf[w.start[j] : w.end[j]].tobytes().decode() for j in range(w.first[i], w.first[i + 1])] for i in range(len(texts))]
+    assert got == [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)) for t in texts]
+    by_hash = {}
+    for i, ws in enumerate(got):
+        for j, x in enumerate(ws):
+            assert by_hash.setdefault(int(w.hash[w.first[i] + j]), x) == x
+    assert len(by_hash) == len({x for ws in got for x in ws})
+
+
+# ── 1: HTML ──────────────────────────────────────────────────────────────────
+
+
+def test_main_text():
+    page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a = "</p>";</script></head><body class="has-sidebar">
+    <header>Site</header><nav><ul><li><a href=/>Home</a><li><a>More</a></ul></nav><div class="cookie-banner"><p>We use cookies, a lot of them, all day</div>
+    <article><h1>A  head</h1><p>One &amp; two&nbsp;<b>bo</b>ld<br>line <a href="x">link</a></p><div class="ad">Buy this now</div><p>Three &lt;tag&gt;
+    <ul><li>item</li></ul><form><input value=x>Name</form></article><section id="comments"><p>First! I am a reader with much to say about it</p></section>
+    <aside>Side bar words here</aside><footer>&copy; all of us</footer></body></html>"""
+    assert html_text.main_text(page) == "A head One & two bold line link Three <tag> item"
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<html><body></body></html>", "<nav>menu</nav>", "<script>only</script>", "<", "<p", "<!-- x"])
+def test_main_text_of_nothing(page):
+    assert html_text.main_text(page) in ("", "<")
+
+
+def test_main_text_of_plain_text_and_long_pages():
+    assert html_text.main_text("just words &eacute;") == "just words é"
+    long = "<article>" + "<p>word " * 50_000 + "</article>"
+    assert html_text.main_text(long) == " ".join(["word"] * 50_000)
+
+
+def test_region_is_the_best_run():
+    r = random.Random(3)
+    for _ in range(200):
+        s = [r.randint(-5, 5) for _ in range(r.randint(1, 30))]
+        a, b = html_text.region(s)
+        best = max(sum(s[i:j]) for i in range(len(s)) for j in range(i, len(s) + 1))
+        assert sum(s[a:b]) == max(best, 0)
+
+
+def test_labelled_pages_are_read_as_labelled():
+    w = html_text.weights()
+    assert all(w[k] > 0 for k in ("word", "word:head")) and all(v < 0 for k, v in w.items() if k.startswith("tag:"))
+    for page, (a, b) in html_text.labelled_pages(20, seed=99):
+        want = " ".join(html.unescape("".join(t for _, t, gone in html_text.events(page)[a:b] if not gone)).split())
+        assert html_text.main_text(page) == want
+
+
+def test_extract_keeps_columns(spark, sf):
+    pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>x y</p>")], "page_id bigint, url string, html string")
+    assert [r["text"] for r in html_text.extract(pages).orderBy("page_id").collect()] == ["", "x y"]
+    assert html_text.extract(pages.limit(0)).count() == 0
+    got = html_text.query(spark, sf)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.where("length(text) <> n_chars").count() == 0
+
+
+# ── 2: WARC ──────────────────────────────────────────────────────────────────
+
+
+def pages_table(spark):
+    big = "<p>" + "x" * 200 + "é</p>"
+    rows = [(5, "http://a/5", big), (3, "http://a/3", big), (9, None, big), (1, "u\n1", "short"), (2, "u2", "short"), (4, "u4", None), (6, "u6", ""), (7, "u7", "y" * 300_000), (None, "n", big), (3, "http://a/3", big)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string"), rows
+
+
+def test_warc_round_trip(spark):
+    df, rows = pages_table(spark)
+    folder, manifest = warc.write(df.repartition(3), file_bytes=1000)
+    got = warc.read(manifest, folder).collect()
+    assert Counter((r["page_id"], r["type"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in got) == Counter(
+        (i, "revisit" if h and len(h) > 100 and i is not None and i > 3 and "é" in h else "response", len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), 3 if h and "é" in h and i is not None and i > 3 else None) for i, _, h in rows
+    )
+    assert {bytes(r["payload"]).decode() for r in got if r["type"] == "response"} == {h or "" for _, _, h in rows}
+    folder, manifest = warc.write(df.limit(0))
+    assert warc.read(manifest, folder).count() == 0
+
+
+def archive(n: int = 12) -> tuple[bytes, list[int], list[bytes]]:
+    payloads = [f"payload {i} ".encode() * (i + 1) * 20 for i in range(n)]
+    parts = [warc.member(warc.record("response", i, f"http://x/{i}", p, hashlib.sha256(p).hexdigest())) for i, p in enumerate(payloads)]
+    return b"".join(parts), [0, *np.cumsum([len(p) for p in parts]).tolist()], payloads
+
+
+def test_salvage_after_damage():
+    data, at, payloads = archive()
+    records, gaps = warc.salvage(data)
+    assert [r.payload for r in records] == payloads and gaps == []
+    broken = bytearray(data)
+    broken[at[3] + 40] ^= 0xFF  # within member 3
+    del broken[at[7] : at[7] + 5]  # the head of member 7 is gone
+    records, gaps = warc.salvage(bytes(broken))
+    assert [r.payload for r in records] == [p for i, p in enumerate(payloads) if i not in (3, 7)]
+    assert [(g.start, g.end) for g in gaps] == [(at[3], at[4]), (at[7], at[8] - 5)]
+    records, gaps = warc.salvage(data[: at[11] + 30])
+    assert len(records) == 11 and [(g.start, g.end) for g in gaps] == [(at[11], at[11] + 30)]
+    records, gaps = warc.salvage(b"junk" + data)
+    assert len(records) == 12 and (gaps[0].start, gaps[0].end) == (0, 4)
+
+
+def test_salvage_of_plain_records_and_wrong_digests():
+    good = warc.record("response", 1, "u", b"one " * 50, "d")
+    bad = warc.record("response", 2, "u", b"two " * 50, "d").replace(b"two two", b"twO two", 1)
+    records, gaps = warc.salvage(good + bad + good + warc.member(good) + b"WARC/1.1 nothing" + good)
+    assert len(records) == 4
+    assert [(g.end - g.start, g.reason) for g in gaps] == [(len(bad), "block digest"), (16, gaps[1].reason)]
+    assert warc.salvage(b"") == ([], [])
+
+
+# ── 3: substrings ────────────────────────────────────────────────────────────
+
+
+def plain_removal(rows: list[tuple[int | None, bytes]], w: int = substring.WINDOW) -> list[tuple]:
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        for s in range(len(t) - w + 1) if i is not None else ():
+            first[t[s : s + w]] = min(i, first.get(t[s : s + w], i))
+    out = []
+    for i, t in rows:
+        mark = bytearray(len(t))
+        for s in range(len(t) - w + 1) if i is not None else ():
+            if first[t[s : s + w]] < i:
+                mark[s : s + w] = b"\1" * w
+        kept = bytes(b for b, m in zip(t, mark) if not m)
+        out.append((i, len(t), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def overlapping(seed: int) -> list[tuple]:
+    r = random.Random(seed)
+    shared = [words(r, 30) for _ in range(6)]
+    out = []
+    for i in range(80):
+        parts = [r.choice(shared)[r.randint(0, 40) : r.randint(80, 200)] if r.random() < 0.6 else words(r, r.randint(1, 20)) for _ in range(r.randint(1, 6))]
+        out.append((i, "".join(parts)))
+    return out + [(90, "ab" * 400), (91, "ab" * 300), (92, "b" + "ab" * 100), (93, None), (94, ""), (95, "x" * 49), (96, "x" * 50), (97, "x" * 50), (None, out[0][1]), (None, out[1][1]), (5, out[5][1]), (5, words(r, 40))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("frequent", [2000, 3])
+def test_removed_bytes(spark, seed, frequent, monkeypatch):
+    monkeypatch.setattr(substring, "FREQUENT", frequent)
+    rows = overlapping(seed)
+    got = substring.removed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).drop("runs").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_removal([(i, (t or "").encode()) for i, t in rows]))
+
+
+def test_removed_of_an_empty_table(empty):
+    assert substring.removed(empty).count() == 0
+
+
+def test_multikey_quicksort_and_blind_tries_sort():
+    r = np.random.default_rng(0)
+    w = r.integers(0, 3, (3000, 3)).astype(np.uint64)
+    got = w[substring.multikey(w)]
+    assert got.tolist() == sorted(w.tolist())
+    rnd = random.Random(1)
+    strings = [bytes(rnd.choice(b"ab") for _ in range(12)) for _ in range(300)]
+    trie = substring.BlindTrie()
+    for i, s in enumerate(strings):
+        trie.add(s, i)
+    assert [leaf[0] for leaf in trie] == sorted(set(strings))
+    assert all(leaf[1] == strings.index(leaf[0]) for leaf in trie)
+
+
+# ── 4: quality ───────────────────────────────────────────────────────────────
+
+
+def plain_counts(t: str) -> tuple:
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = list(zip(w, w[1:], w[2:]))
+    often = Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
+
+
+def test_quality_counts_and_columns(spark, docs):
+    odd = [(400, "a b c a b c", None, None, 0), (401, "x\n\nx\n x\nx", "en", "a", 0), (402, "\x0b\x0c\r  é\x85", "en", "a", 0), (403, "a b c d", "en", "a", 0), (404, "f#f*f", "en", "a", 0), (None, "one two", "en", "a", 0), (400, "a b c a b c", None, None, 0)]
+    rows = documents() + odd
+    got = quality.report(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == Counter((i, *plain_counts(t or "")) for i, t, *_ in rows)
+    clashing = spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"'z' AS {c.split()[0]}" for c in CLASHING.split(", ")])
+    kept = quality.keep(clashing)
+    assert kept.columns == clashing.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+
+
+def test_outliers_go_and_others_stay(spark, empty):
+    r = random.Random(5)
+    rows = [(i, words(r, r.randint(60, 300)), "en", "a", 0) for i in range(300)] + [(1000 + i, " ".join(x + "###" for x in words(r, 120).split()), "en", "a", 0) for i in range(20)]
+    got = {x["doc_id"]: x["kept"] for x in quality.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20))
+    assert quality.report(empty).count() == 0 and quality.keep(empty).count() == 0
+
+
+def test_distance_is_that_of_the_estimates(spark):
+    r = random.Random(6)
+    rows = [(i, words(r, r.randint(60, 300)), "en", "a", 0) for i in range(250)]
+    got = quality.measured(spark.createDataFrame(rows, DOCS), ["doc_id"])
+    e = quality.fit(got, steps=0).first()
+    x = np.array([[row[f"x{i}"] for i in range(1, 6)] for row in got.orderBy("doc_id").collect()])
+    d2 = [row["d2"] for row in quality._verdict(got, quality.fit(got, steps=0), 30).orderBy("doc_id").collect()]
+    m = np.array([e[f"m{i}"] for i in range(1, 6)])
+    chol = np.array([[e[f"l{i}{j}"] if j <= i else 0.0 for j in range(1, 6)] for i in range(1, 6)])
+    want = (np.linalg.solve(chol, (x - m).T) ** 2).sum(0)
+    assert np.allclose(d2, want)
+    assert math.isclose(quality.consistency(0.999999), 1.0, rel_tol=1e-3)
+
+
+# ── 5: secrets ───────────────────────────────────────────────────────────────
+
+
+def test_base_secrets():
+    t = 'é password = "abcdefgh12" TOKEN:short api-key=1234567890 apikey: \'Zz0+/_.=-x\' AKIAABCDEFGHIJKL AKIASHORT ' + "0123456789abcdef" * 2 + " " + "a" * 31
+    spans = secrets.Scanner().spans(t)
+    assert [t[a:b] for a, b, k in spans if k == "assign"] == ['password = "abcdefgh12', "apikey: 'Zz0+/_.=-x"]
+    assert [t[a:b] for a, b, k in spans if k == "access"] == ["AKIAABCDEFGHIJKL"]
+    assert [t[a:b] for a, b, k in spans if k == "hex"] == ["0123456789abcdef" * 2]
+    assert secrets.Scanner().spans("token=ſecret paſſword=aaaaaaaaaaaa") == []
+
+
+def test_base_secrets_are_those_of_the_plain_patterns():
+    r = random.Random(8)
+    s = secrets.Scanner()
+    bits = ["password", "Secret", "token", "api_key", "apikey", '"', "'", " ", ":", "=", "AKIA", "ABCDEF0123456789", "deadbeef", "0123456789abcdef", "xyz", "\n", "é"]
+    kinds = {"assign": (secrets.ASSIGN, lambda m: len(m[2]) >= 8), "access": (secrets.ACCESS, lambda m: len(m[0]) >= 16), "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)}
+    for _ in range(500):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 60)))
+        want = sorted(((m.start(), m.end(), k) for k, (p, ok) in kinds.items() for m in p.finditer(t) if ok(m)), key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+        assert [x for x in s.spans(t) if x[2] != "novel"] == want
+
+
+def test_novel_secrets():
+    s = secrets.Scanner()
+    secret = "client credential Zx81kQw9Lm2Vt7Rp4Bn6Ty3Hc and more words after it"
+    assert [secret[a:b] for a, b, k in s.spans(secret) if k == "novel"] == ["Zx81kQw9Lm2Vt7Rp4Bn6Ty3Hc"]
+    for plain in ("client credential access_key_secret_key_api_key2", "credential: AAAAAAAAAAAAAAAA1111", "Zx81kQw9Lm2Vt7Rp4Bn6Ty3Hc without a word", "auth abcdefghijklmnopqrstuvwxyz"):
+        assert s.spans(plain) == []
+    seen = "Zx81kQw9Lm2Vt7Rp4Bn6Ty3Hc is public; the credential Zx81kQw9Lm2Vt7Rp4Bn6Ty3Hc is no news"
+    assert s.spans(seen) == []
+
+
+def test_redact(spark, docs, empty):
+    rows = [(1, "a token = 'abcdefgh123' b", "en", "s", 25), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
+    got = {r["doc_id"]: r for r in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1]["text"] == "a [SECRET]' b" and got[1]["n_chars"] == 13 and got[2]["text"] is None and got[3]["text"] == "clean"
+    assert secrets.redact(docs).count() == docs.count() and secrets.redact(empty).count() == 0
+    assert [tuple(r) for r in secrets.scan(spark.createDataFrame(rows, DOCS)).where("size(starts) > 0").collect()] == [(1, [2], [22], ["assign"])]
+
+
+# ── 6: Jaccard join ──────────────────────────────────────────────────────────
+
+
+def plain_sets(rows) -> list[frozenset]:
+    out = []
+    for _, t, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    return out
+
+
+def plain_components(rows) -> Counter:
+    s = plain_sets(rows)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            k = len(s[i] & s[j])
+            if s[i] and 100 * k >= 75 * (len(s[i]) + len(s[j]) - k):
+                root[find(i)] = find(j)
+    least: dict[int, int] = {}
+    for i, (d, *_) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return Counter((d, len(s[i]), least.get(find(i), d) if s[i] else d) for i, (d, *_) in enumerate(rows))
+
+
+def similar_texts(seed: int, n: int = 60) -> list[tuple]:
+    """Chains of texts that are changed further and further."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        if i % 12 == 0:
+            w = words(r, r.choice([3, 7, 20, 70, 130, 300])).split()
+        else:
+            for _ in range(r.randint(0, 2)):
+                w = [*w]
+                k = r.randrange(len(w))
+                w[k : k + r.randint(0, 2)] = [f"new{r.randint(0, 999)}"] * r.randint(0, 2)
+                w = w or ["none"]
+        out.append((r.randint(0, 10**12), " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("few", [True, False])
+def test_components(spark, seed, few, monkeypatch):
+    if not few:  # every way of the rest, and the join without a broadcast
+        monkeypatch.setattr(dedup_join, "ALL_PAIRS", 1)
+        monkeypatch.setattr(dedup_join, "STAR_ROUNDS", 1)
+        monkeypatch.setattr(dedup_join, "HOT_LEAST", 3)
+        monkeypatch.setattr(dedup_join, "BROADCAST_PAIRS", 0)
+    rows = similar_texts(seed) + [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE two"), (6, "one two"), (7, "one")]
+    got = dedup_join.cluster(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert Counter(map(tuple, got.collect())) == plain_components(rows)
+
+
+def test_one_of_each_group_stays(spark, docs, empty):
+    got = {r["doc_id"] for r in dedup_join.keep_one(docs).collect()}
+    assert {d for d, _, c in plain_components(documents()) if d == c} == got
+    assert dedup_join.keep_one(docs).columns == docs.columns
+    assert dedup_join.cluster(empty).count() == 0 and dedup_join.keep_one(empty).count() == 0
+    twice = docs.union(docs).selectExpr("*", *[f"'z' AS {c.split()[0]}" for c in CLASHING.split(", ")])
+    assert sorted(r["doc_id"] for r in dedup_join.keep_one(twice).collect()) == sorted(got)
+
+
+def test_prefixes_of_similar_sets_meet_and_sketches_bound():
+    r = np.random.default_rng(4)
+    hot = np.sort(r.integers(0, 1 << 63, 50).astype(np.uint64))
+    for _ in range(400):
+        n = int(r.integers(1, 400))
+        a = np.unique(np.concatenate([r.integers(0, 1 << 63, n).astype(np.uint64), hot[: int(r.integers(0, 50))]]))
+        k = int(r.integers(0, max(1, len(a) // 5)))
+        b = np.unique(np.concatenate([a[k:], r.integers(0, 1 << 63, int(r.integers(0, max(1, len(a) // 6)))).astype(np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert dedup_join.hamming(dedup_join.bits(a), dedup_join.bits(b)) <= apart
+        if dedup_join.similar(a, b):
+            assert apart <= (len(a) + len(b)) // 7
+            if not dedup_join.weak(a) and not dedup_join.weak(b):
+                assert any(set(dedup_join.prefix(a, x, hot)[0].tolist()) & set(dedup_join.prefix(b, x, hot)[0].tolist()) for x in set(dedup_join.bands(len(a))) & set(dedup_join.bands(len(b))))
+
+
+def test_near_is_the_plain_filter():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 1 << 63, int(r.integers(1, 300))).astype(np.uint64)) for _ in range(25)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], r.integers(0, 1 << 63, 2).astype(np.uint64)])) for s in sets]
+    labels = np.arange(len(sets)) % 5
+    side = (np.arange(len(sets)), labels, np.array([len(s) for s in sets]), [dedup_join.bits(s) for s in sets])
+    u, v = dedup_join.near(side, side)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if labels[i] != labels[j] and 4 * len(a) >= 3 * len(b) and 4 * len(b) >= 3 * len(a) and dedup_join.hamming(dedup_join.bits(a), dedup_join.bits(b)) <= (len(a) + len(b)) // 7}
+    assert set(zip(u.tolist(), v.tolist())) == want
+
+
+# ── 7: decontamination ───────────────────────────────────────────────────────
+
+
+def low_words(t: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def plain_hits(rows, items) -> Counter:
+    grams: dict[tuple, set] = {}
+    for i, t in items:
+        w = low_words(t)
+        k = min(10, len(w))
+        for a in range(len(w) - k + 1) if w else ():
+            grams.setdefault(tuple(w[a : a + k]), set()).add("null" if i is None else str(i))
+    out = Counter()
+    for d, t, *_ in rows:
+        w = low_words(t)
+        hit, found = set(), set()
+        for g, names in grams.items():
+            for a in range(len(w) - len(g) + 1):
+                if tuple(w[a : a + len(g)]) == g:
+                    hit.update(range(a, a + len(g)))
+                    found |= names
+        out[(d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))] += 1
+    return out
+
+
+@pytest.mark.parametrize("slice_bytes", [decontaminate.SLICE_BYTES, 60])
+def test_hits(spark, slice_bytes, monkeypatch):
+    r = random.Random(9)
+    rows = documents()[:40] + documents()[-5:]
+    items = [(i, words(r, r.randint(3, 30))) for i in range(12)] + [(10, words(r, 3)), (2, None), (3, ""), (None, "lonely item"), (77, "日本 νυ")]
+    rows += [(500 + k, f"{words(r, 5)} {items[k][1].upper() if k % 2 else items[k][1].replace(' ', ' -- ')} {words(r, 5)}", "en", "a", 0) for k in range(8)]
+    rows += [(600, "x lonely; item y", "en", "a", 0), (None, "lonely item", "en", "a", 0)]
+    d, b = spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    real = decontaminate._slices
+    monkeypatch.setattr(decontaminate, "_slices", lambda x, _: real(x, slice_bytes))
+    assert Counter(map(tuple, decontaminate.report(d, b).collect())) == plain_hits(rows, items)
+    want = {(k[0]) for k in plain_hits(rows, items) if not k[5]}
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == want
+    cut = decontaminate.clean(d, b, remove="spans")
+    assert cut.columns == d.columns and cut.count() == len(rows)
+    assert cut.where("doc_id = 600").first()["text"] == "x  y"
+
+
+def test_hits_of_empty_tables(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.report(docs, none).where("contaminated").count() == 0
+    assert decontaminate.report(empty, none).count() == 0 and decontaminate.clean(docs, none).count() == docs.count()
+
+
+# ── 8: languages ─────────────────────────────────────────────────────────────
+
+
+def test_model_is_kneser_ney():
+    """Probabilities after each context add up to 1, and equal the plain recursion."""
+    text = "abra cadabra abracad barb cab"
+    c = language.codes(text)
+    g, n = np.unique(language.grams(c, 3), return_counts=True)
+    m = language.Model(["x"], [(g, n)], 3)
+    for ctx in {int(x) >> 6 for x in g}:
+        every = np.array([(ctx << 6) | k for k in range(64)], np.uint32)
+        assert math.isclose(np.exp(m._lookup(every, 2)).sum(), 1.0, rel_tol=1e-4)
+    counts = dict(zip(g.tolist(), n.tolist()))
+
+    def p(gram, k, level):
+        mask = (1 << 6 * k) - 1
+        d = Counter(level.values())
+        disc = d[1] / (d[1] + 2 * d[2]) if d[1] and d[2] else 0.5
+        lower = 1 / 64 if k == 1 else p(gram & (mask >> 6), k - 1, {s: sum(1 for x in level if x & (mask >> 6) == s) for s in {x & (mask >> 6) for x in level}})
+        same = {x: v for x, v in level.items() if x >> 6 == gram >> 6}
+        return lower if not same else (max(level.get(gram, 0) - disc, 0) + disc * len(same) * lower) / sum(same.values())
+
+    for gram in [*counts, 5, 70, 4200]:
+        assert math.isclose(math.exp(m._lookup(np.array([gram], np.uint32), 2)[0, 0]), p(gram, 3, counts), rel_tol=1e-4)
+
+
+def test_languages(spark, empty):
+    r = random.Random(1)
+    of = {"xx": ["stroh", "brach", "ichten", "unger"], "yy": ["amore", "ciela", "luna", "vita"]}
+    rows = [(i, " ".join(r.choice(of[k]) for _ in range(r.randint(2, 40))), k, "s", 0) for i in range(300) for k in [r.choice(["xx", "yy"])]]
+    rows += [(900, None, "xx", "s", 0), (901, "", "xx", "s", 0), (902, "123 !!", "yy", "s", 0), (903, "vita luna", None, "s", 0), (904, "Vita " * 20_000, "yy", "s", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    model = language.train(d.where(~language.held_out()))
+    got = {x["doc_id"]: x for x in language.predict(d, model).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[i]["lang_pred"] == k for i, _, k, *_ in rows[:300]) >= 297
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (900, 901, 902)) and got[903]["lang_pred"] == "yy" and got[904]["lang_pred"] == "yy"
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    assert language.train(empty) is None and {x["lang_pred"] for x in language.predict(d, None).collect()} == {"und"}
+    assert language.predict(empty, model).count() == 0
+
+
+def test_languages_of_the_data(spark, sf):
+    got = language.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+# ── 9: toxicity ──────────────────────────────────────────────────────────────
+
+
+def test_toxicity(spark, empty):
+    r = random.Random(2)
+    ok = [words(r, 12).replace("\n", " ") + "." for _ in range(400)]
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        s = [r.choice(ok) for _ in range(r.randint(1, 6))]
+        if bad:
+            s.insert(r.randrange(len(s) + 1), "you are a nasty pig today.")
+        rows.append((i, " ".join(s), "en", "s", 0))
+        labels.append((i, 1, int(bad)))
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "You are a nasty pig today", "en", "s", 0)]
+    labels += [(900, 1, None), (5, 0, 0), (None, 0, 1), (12345, 1, 1)]
+    d, y = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(d, y.where(~toxicity.held_out()))
+    got = {x["doc_id"]: x for x in toxicity.score(d, model).collect()}
+    assert sum(got[i]["predicted"] == (i % 4 == 0) for i in range(400)) >= 396
+    assert all(0 <= x["score"] <= 1 for x in got.values()) and got[900]["predicted"] == got[901]["predicted"] == 0 and got[902]["predicted"] == 1
+    found = toxicity.locate(d, model).where("doc_id < 400").collect()
+    assert {x["doc_id"] for x in found} >= {i for i in range(0, 400, 4) if got[i]["predicted"]} and all("nasty pig" in x["sentence"] for x in found)
+    assert toxicity.train(d, y.limit(0)) is None and toxicity.score(d, None).count() == len(rows) and toxicity.score(empty, model).count() == 0
+
+
+def test_noisy_or_of_sentences():
+    m = toxicity.Model(np.zeros(1 << toxicity.BITS), -1.0)
+    p = 1 / (1 + math.exp(1.0))
+    got, _ = m.score([b"one. two! three", b"", b"one"])
+    assert np.allclose(got, [1 - (1 - p) ** 3, p, p])
+
+
+# ── 10: BPE ──────────────────────────────────────────────────────────────────
+
+ODD = ["ΑΣ Σ ΣΑΣ. οδοσΣ", "İstanbul ﬁ Å é", "<|endoftext|>x <|startoftext|>", "a" * 3000, "", "  \n\t", "'s don't WE'LL ıI", "日本語 한국어 ١٢٣ Ⅷ ²", " 　x\u0085y", "\x1c\x1f a\x00b", "é ‍👩‍👩‍👧", "<|endoftext", "don’t 's's 're", "ǅ ẞ ß ﻿abc", "supercalifragilistic" * 20]
+
+
+def test_bpe_is_the_library(spark):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    t = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    texts = ODD + [x or "" for x in text_of(documents()).values()]
+    codec = bpe.Codec(bpe.load())
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        ids, n, said = codec.encode(text)
+        assert list(struct.unpack(f"<{n}I", ids)) == e.ids
+        assert said == codec.decode(e.ids) == t.decode(e.ids, skip_special_tokens=False)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(None, None)], "doc_id bigint, text string")
+    back = bpe.decode(bpe.encode(rows)).where("doc_id is not null").collect()
+    assert all(list(r["token_ids"]) == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in back)
+    sums = {r["doc_id"]: r for r in bpe.digest(rows).collect()}
+    assert sums[None]["n_tokens"] == 0 and sums[None]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert bpe.digest(rows.limit(0)).count() == 0
+
+
+def test_cuts_are_in_no_token():
+    pytest.importorskip("public_tokenizers")
+    c = bpe.Codec(bpe.load())
+    for word in ("exemple", "qxzjvq", "naïve", "x" * 100):
+        cut = c.fragments(word)
+        assert "".join(cut) == word
+        ends = {a[-1] + b[0] for a, b in zip(cut, cut[1:])}
+        assert not any(e in t for e in ends for t in c.vocab)
+    assert c.merge([*"information"]) == c.merge_long([*"information"])
+
+
+# ── the pipeline and the registry ────────────────────────────────────────────
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    read = docs
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, read, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        read = corpus_pipeline.common.written(out, "test")
+        kept.append({r["doc_id"] for r in read.collect()})
+    first = {r["doc_id"] for r in quality.query(spark, sf).where("kept").collect()}
+    assert kept[0] == first
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in first]
+    assert kept[1] == {d for d, _, c in plain_components(rows) if d == c}
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert kept[2] == {k[0] for k in plain_hits([r for r in rows if r[0] in kept[1]], items) if not k[5]}
+    assert kept[3] == kept[2]
+    got = corpus_pipeline.run(spark, sf)
+    assert {r["doc_id"] for r in got.collect()} == kept[3]
+    assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_sql_agrees(spark, sf):
+    import duckdb
+
+    from veritab.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        q = con.execute(sql)
+        columns = [c[0] for c in q.description]
+        want = Counter(q.fetchall())
+        assert Counter(tuple(r[c] for c in columns) for r in queries.queries()[name](spark, sf).collect()) == want, name

@@ -160,8 +160,10 @@ def labelled_pages(n: int = 60, seed: int = 7) -> list[tuple[str, tuple[int, int
     for i in range(n):
         menu = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{say(1, 2)}</a></li>' for _ in range(r.randint(3, 9))) + "</ul>"
         tag = ("article", "main", "div")[i % 3]
-        body = f"<h1>{say(3, 10)}</h1>" + "".join(f"<p>{say(8, 90)}{'<br>' + say(4, 20) if r.random() < 0.2 else ''} <b>{say(1, 3)}</b> <a href='/x'>{say(1, 3)}</a>.{'</p>' if r.random() < 0.9 else ''}" for _ in range(r.randint(2, 12)))
-        before = f"<!DOCTYPE html><html><head><title>{say(3, 8)}</title><style>p{{}}</style><script>f(1)</script></head><body><header><div>{say(1, 4)}</div></header><nav>{menu()}</nav><div class='ad'>{say(4, 12)}</div>" + (f"<div class='cookie-notice'><p>{say(10, 25)}</p></div>" if i % 4 == 0 else "") + (f"<p>{say(3, 10)}</p>" if i % 5 == 0 else "")
+        # what stands within articles: lists, quotes, sections, and things that are none of theirs
+        extra = lambda: r.choice([f"<ul><li>{say(2, 9)}</li><li>{say(2, 9)}</ul>", f"<blockquote>{say(5, 30)}</blockquote>", f"<div><p>{say(8, 40)}</p></div>", f"<div class='ad'>{say(3, 14)}</div>", f"<aside class='related'>{menu()}</aside>", f"<form><input>{say(2, 6)}</form>", f"<section><h2>{say(2, 6)}</h2></section>"]) if r.random() < 0.4 else ""
+        body = f"<h1>{say(3, 10)}</h1>" + "".join(f"<p>{say(8, 90)}{'<br>' + say(4, 20) if r.random() < 0.2 else ''} <b>{say(1, 3)}</b> <a href='/x'>{say(1, 3)}</a>.{'</p>' if r.random() < 0.9 else ''}{extra()}" for _ in range(r.randint(2, 12))) + f"<p>{say(8, 40)}</p>"
+        before = f"<!DOCTYPE html><html><head><title>{say(3, 8)}</title><style>p{{}}</style><script>f(1)</script></head><body><header><div>{say(1, 4)}</div></header><nav>{menu()}</nav><div class='ad'>{say(4, 12)}</div>" + (f"<div class='cookie-notice'><p>{say(10, 25)}</p></div>" if i % 4 == 0 else "") + (f"<p>{say(3, 10)}</p>" if i % 5 == 0 and tag != "div" else "")
         after = (f"<section class='comments'><p>{say(5, 30)}</p><p>{say(5, 30)}</p></section>" if i % 2 else "") + f"<aside>{menu()}<p>{say(5, 15)}</p></aside><form><input><button>{say(1, 2)}</button></form><footer>{say(5, 15)}</footer></body></html>"
         a, b = len(events(before)), len(events(f"{before}<{tag}>{body}"))
         out.append((f"{before}<{tag}>{body}</{tag}>{after}", (a + 1, b)))

@@ -111,12 +111,15 @@ class Model:
                 bo[np.searchsorted(all_c, p[k][2]), i] = p[k][3]
             self.orders.append([all_g, lp, all_c, bo])
         self.calibration = (1.0, 0.0)
-        # the lower orders fill what a language lacks, so that one search serves all languages
+        # the lower orders fill what a language lacks, so that one search serves all languages; below the lowest all classes are alike
+        floor = self.orders[0][3][0] + np.float32(np.log(1 / 64))
+        self.floor = floor
+        lp = self.orders[0][1]
+        lp[:] = np.where(np.isnan(lp), floor, lp)
         for k in range(1, order):
             g, lp, c, bo = self.orders[k]
             low, miss = self._lookup(g & np.uint32((1 << 6 * k) - 1), k - 1), np.isnan(lp)
             lp[miss] = (low + self._backoff(g >> np.uint32(6), k))[miss]
-        self.orders[0][1] = np.where(np.isnan(self.orders[0][1]), np.log(1 / 64), self.orders[0][1]).astype(np.float32)
 
     def _one(self, g: np.ndarray, n: np.ndarray) -> list[tuple]:
         """(n-grams, log probabilities, contexts, log back-off weights) by order."""
@@ -154,11 +157,9 @@ class Model:
         keys, lp, _, _ = self.orders[k]
         at, ok = self._find(keys, g)
         out = lp[at]
-        if k == 0:
-            out = np.where(np.isnan(out), np.float32(np.log(1 / 64)), out)
         if not ok.all():
             miss = np.flatnonzero(~ok)
-            out[miss] = np.float32(np.log(1 / 64)) if k == 0 else self._lookup(g[miss] & np.uint32((1 << 6 * k) - 1), k - 1) + self._backoff(g[miss] >> np.uint32(6), k)
+            out[miss] = self.floor if k == 0 else self._lookup(g[miss] & np.uint32((1 << 6 * k) - 1), k - 1) + self._backoff(g[miss] >> np.uint32(6), k)
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
