@@ -13,8 +13,8 @@ a million) is weak: then all sets of like sizes use blocks of one shingle as wel
 
 Copies and skew: sets are joined once for each different set, under an id that is a hash of the set. A block that few sets share
 gives all its pairs. One that many share, or that consists of very frequent shingles, gives a star and is kept: after the stars are
-verified and joined to components, only its pairs of different components remain to be verified. Groups of copies therefore never meet as all
-pairs. Very frequent shingles come last in the order of blocks, and blocks of nothing else are salted.
+verified and joined to components, further stars join what is left to the largest component, and in the end only pairs of different
+components are compared in full. Groups of copies therefore never meet as all pairs. Very frequent shingles come last in the order of blocks, and blocks of nothing else are salted.
 
 Defined results: a null text, and one without words, has an empty set and is linked with nothing; a document of fewer than
 5 words has one shingle; repeated rows are copies; a null doc_id is null again but can't name a component. Hashes have 64 bits.
@@ -36,10 +36,18 @@ WORDS = 5
 #: Sets of fewer shingles have a block for each.
 SMALL = 64
 #: Blocks that more sets share than this give stars first.
-ALL_PAIRS = 8
+ALL_PAIRS = 3
+#: Pairs that are broadcast to the texts, at most: 32 bytes each.
+BROADCAST_PAIRS = 500_000
+#: Ids of documents to leave out that are broadcast, at most: 8 bytes each.
+BROADCAST_IDS = 1_000_000
 #: A shingle is very frequent from that share of the documents on. Over all documents there are at most 1 / HOT_SHARE times the mean number of shingles.
-HOT_SHARE, HOT_LEAST = 1e-3, 50
+HOT_SHARE, HOT_LEAST = 5e-4, 30
+#: Shingles that are counted at a time.
+COUNTED = 2_000_000
 BUCKET_BYTES = 32 << 20
+#: Rounds of stars around other members before what is left is compared in full, and sets of a side of a rectangle then.
+STAR_ROUNDS, SIDE = 1, 2000
 U = np.uint64
 
 
@@ -126,18 +134,33 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, set_id, bits, weak of each row of docs; and rows of h, k: shingles that several documents of a batch share."""
+    """doc_id, n, set_id, bits, weak of each row of docs; and rows of h, k: shingles that are frequent among many documents of a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n_held, n_docs = [], 0, 0
+
+        def frequent() -> tuple[np.ndarray, np.ndarray]:
+            h, k = np.unique(np.concatenate(held), return_counts=True)
+            often = k >= max(3, HOT_SHARE / 2 * n_docs)
+            return h[often].view(np.int64), k[often]
+
+        def frame(rows: list[tuple], h=(), k=()) -> pd.DataFrame:
+            # masked integers throughout: floats would not hold 64 bits
+            m, whole = len(h), lambda x: pd.array(x, "Int64")
+            ids, n, sets_, sketches, flags = zip(*rows) if rows else [()] * 5
+            none = [None] * m
+            return pd.DataFrame({"doc_id": whole([*ids, *none]), "n": whole([*n, *none]), "set_id": whole([*sets_, *none]), "bits": [*sketches, *none], "weak": pd.array([*flags, *none], "boolean"), "h": whole([None] * len(rows) + [int(x) for x in h]), "k": whole([None] * len(rows) + [int(x) for x in k])})
+
         for b in batches:
             got = shingles(utf8(b["text"]), words)
-            h, k = np.unique(np.concatenate(got), return_counts=True)
-            often = k >= max(3, len(b) // 400)
-            m = int(often.sum())
-            # masked integers throughout: floats would not hold 64 bits
-            whole = lambda x: pd.array([*x, *[None] * m], "Int64")
-            other = lambda x: pd.array([*[None] * len(b), *x.tolist()], "Int64")
-            yield pd.DataFrame({"doc_id": whole(None if x is None else int(x) for x in b["doc_id"]), "n": whole(len(s) for s in got), "set_id": whole(_set_id(s) for s in got), "bits": [*(bits(s) for s in got), *[None] * m], "weak": pd.array([*(len(s) > 0 and weak(s) for s in got), *[None] * m], "boolean"), "h": other(h[often].view(np.int64)), "k": other(k[often])})
+            yield frame([(None if i is None else int(i), len(x), _set_id(x), bits(x), len(x) > 0 and weak(x)) for i, x in zip(b["doc_id"], got)])
+            held += got
+            n_held, n_docs = n_held + sum(map(len, got)), n_docs + len(got)
+            if n_held >= COUNTED:
+                yield frame([], *frequent())
+                held, n_held, n_docs = [], 0, 0
+        if n_held:
+            yield frame([], *frequent())
 
     return docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n bigint, set_id bigint, bits binary, weak boolean, h bigint, k bigint")
 
@@ -219,24 +242,35 @@ def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, words: int) -
     spark = pairs.sparkSession
     side = lambda p: kinds.select(F.col("set_id").alias(p), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits{p}"), F.col("first").alias(f"first{p}"))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = [hamming(x, y) <= (n + m) // 7 for x, y, n, m in zip(b["bitsu"], b["bitsv"], b["nu"], b["nv"])]
             yield b.loc[ok, ["u", "v", "firstu", "firstv"]]
 
     sized = pairs.join(side("u"), "u").where("nu > 0").join(side("v"), "v").where("4 * nu >= 3 * nv and 4 * nv >= 3 * nu")
-    maybe = written(sized.mapInPandas(near, "u bigint, v bigint, firstu bigint, firstv bigint"), "sketch-pairs")
-    used = maybe.select(F.explode(F.array("firstu", "firstv")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(used, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    both = maybe.join(texts.select(F.col("doc_id").alias("firstu"), F.col("text").alias("tu")), "firstu").join(texts.select(F.col("doc_id").alias("firstv"), F.col("text").alias("tv")), "firstv")
+    maybe = written(sized.mapInPandas(close, "u bigint, v bigint, firstu bigint, firstv bigint"), "sketch-pairs")
+    texts = docs.select("doc_id", "text")
+    if maybe.count() <= BROADCAST_PAIRS:
+        # few enough to go to the texts: only texts of pairs are shuffled
+        ends = maybe.select("u", "v", F.explode(F.array(F.struct(F.col("firstu").alias("doc_id"), F.lit(True).alias("left")), F.struct(F.col("firstv").alias("doc_id"), F.lit(False).alias("left")))).alias("e")).select("u", "v", "e.*")
+        both = texts.join(F.broadcast(ends), "doc_id").groupBy("u", "v").agg(F.collect_set(F.when(F.col("left"), F.col("text"))).alias("tu"), F.collect_set(F.when(~F.col("left"), F.col("text"))).alias("tv"))
+    else:
+        both = maybe.join(texts.select(F.col("doc_id").alias("firstu"), F.array("text").alias("tu")), "firstu").join(texts.select(F.col("doc_id").alias("firstv"), F.array("text").alias("tv")), "firstv")
 
     def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            names = {t: i for i, t in enumerate(dict.fromkeys([*b["tu"], *b["tv"]]))}
+            names = {t: i for i, t in enumerate(dict.fromkeys(t for c in ("tu", "tv") for ts in b[c] for t in ts))}
             got = shingles(utf8(names), words)
-            # a doc_id that several rows share can bring another text than the set's: ids tell
             ids = [_set_id(s) for s in got]
-            ok = [ids[i] == u and ids[j] == v and similar(got[i], got[j]) for i, j, u, v in zip(b["tu"].map(names), b["tv"].map(names), b["u"], b["v"])]
+
+            def of(ts, want):
+                # rows that share a doc_id can bring another text than the set's
+                return next((got[names[t]] for t in ts if ids[names[t]] == want), None)
+
+            ok = []
+            for tu, tv, u, v in zip(b["tu"], b["tv"], b["u"], b["v"]):
+                x, y = of(tu, u), of(tv, v)
+                ok.append(x is not None and y is not None and similar(x, y))
             yield b.loc[ok, ["u", "v"]]
 
     return written(both.select("u", "v", "tu", "tv").mapInPandas(same, "u bigint, v bigint").distinct(), "links")
@@ -265,23 +299,91 @@ def components(edges: DataFrame) -> DataFrame | None:
     return written(out, "components")
 
 
-def _rest(stars: DataFrame, labels: DataFrame | None, kinds: DataFrame) -> DataFrame:
-    """Pairs of different components from the blocks that gave stars, after size and sketch."""
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """labels after more links: only the links between components are contracted."""
+    if labels is None:
+        return components(links)
+    of = lambda p: labels.select(F.col("node").alias(p), F.col("label").alias(f"l{p}"))
+    e = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    more = components(e)
+    if more is None:
+        return labels
+    to = more.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    new = more.join(labels.select("node"), "node", "left_anti")
+    return written(old.unionByName(new), "components")
+
+
+def _split(stars: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """sig, u, label of the blocks that several components are in."""
     s = stars.select("sig", "u").distinct()
     s = s.join(labels.withColumnRenamed("node", "u"), "u", "left").select("sig", "u", F.coalesce("label", "u").alias("label")) if labels is not None else s.withColumn("label", F.col("u"))
-    split = s.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
-    s = s.join(split, "sig", "left_semi").join(kinds.select(F.col("set_id").alias("u"), "n", "bits"), "u")
+    several = s.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
+    return s.join(several, "sig", "left_semi")
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        ids, n, label, sketch = rows["u"].to_numpy(), rows["n"].to_numpy(), rows["label"].to_numpy(), list(rows["bits"])
-        out = []
-        for i in range(len(ids)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 4 // 3, "right"))
-            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j[label[j] != label[i]] if hamming(sketch[i], sketch[k]) <= (n[i] + n[k]) // 7]
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+def _more_stars(split: DataFrame, seed: int) -> DataFrame:
+    """u, v: in each block, the members of other components with a random member v of the component that most of the block is in."""
+    sizes = split.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("u", F.lit(seed)), "u")).alias("r"))
+    hub = sizes.groupBy("sig").agg(F.max(F.struct("k", "label", F.col("r.u").alias("v"))).alias("h")).select("sig", F.col("h.label").alias("own"), F.col("h.v").alias("v"))
+    return split.join(hub, "sig").where("label <> own").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    return written(s.groupBy("sig").applyInPandas(run, "u bigint, v bigint").distinct(), "rest")
+
+def _rest(split: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Pairs of different components from blocks that several are still in, after size and sketch.
+
+    Blocks with the same least member have much the same members: they are taken together, so that a pair is compared once rather than
+    for each block, in rectangles of at most about SIDE times SIDE sets. Only pairs that pass leave the comparison.
+    """
+    first = split.groupBy("sig").agg(F.min("u").alias("hub"))
+    g = split.join(first, "sig").select("hub", "u", "label").distinct().join(kinds.select(F.col("set_id").alias("u"), "n", "bits"), "u")
+    sizes = g.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("blocks"))
+    b = g.join(sizes, "hub").groupBy("hub", F.pmod(F.xxhash64("u"), "blocks").alias("block")).agg(F.collect_list(F.struct("u", "label", "n", "bits")).alias("sets"))
+    b = written(b, "families")
+    both = b.join(b.select("hub", F.col("block").alias("other"), F.col("sets").alias("others")), "hub").where("block <= other")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for left, right in zip(x["sets"], x["others"]):
+                u, v = near(_arrays(left), _arrays(right))
+                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+                yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return written(both.select("sets", "others").mapInPandas(run, "u bigint, v bigint").distinct(), "rest")
+
+
+def _arrays(sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    return (*(np.array([x[k] for x in sets], np.int64) for k in ("u", "label", "n")), [bytes(x["bits"]) for x in sets])
+
+
+def _folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of at least that many bytes at that width, as rows of words."""
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, U).reshape(-1, width // 8), 0) for x in sketches], U).reshape(len(sketches), width // 8)
+
+
+def near(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of different labels whose sizes and sketches allow a similarity.
+
+    left, right: ids, labels, sizes, sketches. Sketches of two widths are compared at the narrower one, as matrices.
+    """
+    out_u, out_v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    place = lambda side: {w: np.array([i for i, x in enumerate(side[3]) if len(x) == w]) for w in {len(x) for x in side[3]}}
+    lefts, rights = place(left), place(right)
+    for w, i in lefts.items():
+        # sizes within 4/3 have widths within a factor of two
+        for w2 in (w // 2, w, 2 * w):
+            if w2 not in rights:
+                continue
+            j, width = rights[w2], min(w, w2)
+            x, y = _folded([left[3][k] for k in i], width), _folded([right[3][k] for k in j], width)
+            n, labels = right[2][j], right[1][j]
+            for k, row in zip(i, x):
+                fits = np.flatnonzero((4 * n >= 3 * left[2][k]) & (4 * left[2][k] >= 3 * n) & (labels != left[1][k]))
+                apart = np.bitwise_count(y[fits] ^ row).sum(1, dtype=np.int64)
+                hit = j[fits[apart <= (n[fits] + left[2][k]) // 7]]
+                out_u.append(np.full(len(hit), left[0][k]))
+                out_v.append(right[0][hit])
+    return np.concatenate(out_u), np.concatenate(out_v)
 
 
 def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -307,10 +409,12 @@ def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
     pairs = found.where("sig is null").select("u", "v").union(tops).distinct()
     links = _verified(pairs, kinds, docs, words)
     labels = components(links)
-    rest = _rest(stars, labels, kinds)
-    if not rest.isEmpty():
-        links = links.union(_verified(rest, kinds, docs, words))
-        labels = components(links)
+    for seed in range(STAR_ROUNDS + 1):
+        split = written(_split(stars, labels), "split")
+        if split.isEmpty():
+            break
+        more = _more_stars(split, seed) if seed < STAR_ROUNDS else _rest(split, kinds)
+        labels = _joined(labels, _verified(more, kinds, docs, words))
     d = of_doc.select("doc_id", "n", "set_id")
     d = d.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n", F.coalesce("label", "set_id").alias("label")) if labels is not None else d.select("doc_id", "n", F.col("set_id").alias("label"))
     d = written(d, "labelled")
@@ -321,8 +425,8 @@ def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs without those that another document of their group, that of the smallest doc_id, stands for. Of repeated rows one stays; columns stay."""
-    c = cluster(docs, words).where("component_id <> doc_id").select("doc_id").distinct()
-    ids = docs.join(c, "doc_id", "left_anti")
+    c = written(cluster(docs, words).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    ids = docs.join(F.broadcast(c) if c.count() <= BROADCAST_IDS else c, "doc_id", "left_anti").select(*docs.columns)
     return ids.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns and _repeats(docs) else ids
 
 
