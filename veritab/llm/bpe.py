@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, table
 
-#: Entries of the cache of words, and twice as many as of fragments; a full cache is emptied. About 100 MB.
-CACHE = 400_000
+#: Entries of the cache of words, and twice as many as of fragments; a full cache is emptied. About 70 MB.
+CACHE = 150_000
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 

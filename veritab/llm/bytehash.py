@@ -12,7 +12,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that are hashed at a time.
-CHUNK = 2_000_000
+CHUNK = 500_000
 _powers: dict[str, np.ndarray] = {}
 
 
