@@ -19,18 +19,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytehash import ALNUM, Words, chunks, utf8
-from .common import small_batches, table
+from .common import small_batches, table, written
 
 BITS = 18
 #: Bytes of the beginnings of words that are features beside whole words: compounds share them.
 PREFIXES = (6, 7, 8, 9)
 #: Labelled documents of either label that are trained on, at most.
 MAX_DOCS = 3000
-#: Documents of the sample that a word must occur in to get a weight.
-LEAST_DOCS = 4
+#: Documents of the sample that a word must occur in to get a weight, and their share of the toxic ones: words of a few copies are no cues.
+LEAST_DOCS, LEAST_SHARE = 4, 0.02
 #: And standard errors by which its shares of toxic and of other documents must differ.
 LEAST_Z = 4.5
-ROUNDS = 120
+ROUNDS = 400
 _ENDS = np.zeros(256, np.int64)
 _ENDS[[ord(c) for c in ".!?\n"]] = 1
 
@@ -95,26 +95,28 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Data
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, rounds: int = ROUNDS) -> Model | None:
-    rows = sample(docs, labels, max_docs).toPandas()
-    rows = rows[[len(w) > 0 for w in rows["words"]]] if len(rows) else rows
-    if not len(rows):
+    drawn = written(sample(docs, labels, max_docs).where("size(words) > 0"), "toxicity-sample")
+    n = {bool(r["toxic"]): r["k"] for r in drawn.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    if not n:
         return None
+    # words whose shares of toxic and other documents differ by chance are left out: there are far more words than documents
+    n1, n0 = max(n.get(True, 0), 1), max(n.get(False, 0), 1)
+    k = drawn.select(F.col("toxic"), F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("k1"), F.count_if(F.col("toxic") <= 0).alias("k0"))
+    share = F.expr(f"(k1 + k0) / {n1 + n0}D")
+    z = F.expr(f"k1 / {n1}D - k0 / {n0}D") / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    telling = np.sort(k.where((F.col("k1") + F.col("k0") >= max(LEAST_DOCS, LEAST_SHARE * n1)) & (F.abs(z) >= LEAST_Z)).select("word").toPandas()["word"].to_numpy(np.int32))
+
+    def only_telling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keep = [np.isin(w, telling) for w in b["words"]]
+            yield pd.DataFrame({"toxic": b["toxic"], "n": [int(s[-1]) + 1 for s in b["sentence"]], "words": [np.asarray(w)[x] for w, x in zip(b["words"], keep)], "sentence": [np.asarray(s)[x] for s, x in zip(b["sentence"], keep)]})
+
+    rows = drawn.mapInPandas(only_telling, "toxic int, n int, words array<int>, sentence array<int>").toPandas()
     y = rows["toxic"].to_numpy() > 0
-    per_doc = [int(s[-1]) + 1 for s in rows["sentence"]]
+    per_doc = rows["n"].tolist()
     shift = np.concatenate([[0], np.cumsum(per_doc)])
-    feature = np.concatenate(list(rows["words"]))
-    sentence = np.concatenate([np.asarray(s) + k for s, k in zip(rows["sentence"], shift)])
-    doc_of_word = np.repeat(np.arange(len(rows)), [len(w) for w in rows["words"]])
-    pairs = np.unique(doc_of_word.astype(np.int64) << BITS | feature)
-    # words whose shares of toxic and other documents differ by chance are left out: there are far more words than documents
-    toxic_word = y[pairs >> BITS]
-    n1, n0 = max(int(y.sum()), 1), max(int((~y).sum()), 1)
-    k1, k0 = (np.bincount(pairs[of] & ((1 << BITS) - 1), minlength=1 << BITS) for of in (toxic_word, ~toxic_word))
-    share = (k1 + k0) / (n1 + n0)
-    z = (k1 / n1 - k0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    common = (k1 + k0 >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z)
-    keep = common[feature]
-    feature, sentence = feature[keep], sentence[keep]
+    feature = np.concatenate([np.asarray(w, np.int32) for w in rows["words"]])
+    sentence = np.concatenate([np.asarray(s, np.int64) + k for s, k in zip(rows["sentence"], shift)])
     names, feature = np.unique(feature, return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), per_doc)
     n_sentences = len(doc)
