@@ -110,8 +110,8 @@ def weak(s: np.ndarray) -> bool:
 
 
 def bits(s: np.ndarray) -> bytes:
-    """A parity bit sketch of about two bits for each shingle. Sketches of half the bits are its halves' XOR."""
-    m = max(64, 1 << len(s).bit_length())
+    """A parity bit sketch of four to eight bits for each shingle. Sketches of half the bits are its halves' XOR."""
+    m = max(64, 1 << len(s).bit_length() + 2)
     return np.packbits(np.bincount(((s * U(0xC2B2AE3D27D4EB4F)) >> U(40)).astype(np.int64) % m, minlength=m) % 2 == 1).tobytes()
 
 
