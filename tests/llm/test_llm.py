@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import string
 import struct
 from collections import Counter
 
@@ -301,6 +302,22 @@ def test_novel_secrets():
     assert s.spans(seen) == []
 
 
+@pytest.mark.parametrize("letters", [string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, "0123456789ABCDEF"])
+def test_novel_secrets_of_every_length(letters):
+    s, r = secrets.Scanner(), random.Random(5)
+    words = "the of and to in is that it was for on are with his they at be this from have or by one had not but what all were".split()
+    for length in (16, 32, 64, 128, 300, 1000, 2000):
+        for around in (0, 50, 200):
+            for lines in (1, 3):
+                hit = 0
+                for _ in range(10):
+                    key = "".join(r.choices(letters, k=length - 1)) + "7"
+                    line = " ".join(r.choices(words, k=around // 4)) + " the credential is " + key + " " + " ".join(r.choices(words, k=around // 4))
+                    text = "\n".join([line] * lines)
+                    hit += sum(text[a:b] == key for a, b, k in s.spans(text) if k == "novel")
+                assert hit >= 8 * lines, (length, around, lines)
+
+
 def test_redact(spark, docs, empty):
     rows = [(1, "a token = 'abcdefgh123' b", "en", "s", 25), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
     got = {r["doc_id"]: r for r in secrets.redact(spark.createDataFrame(rows, DOCS)).collect()}

@@ -2,7 +2,9 @@
 
 A candidate is a long run of key characters that stands shortly after a sensitive word. Its marginal size is what it adds to
 the compressed size of its surroundings, when zstandard is primed with a dictionary of code and identifiers. A run that
-adds nearly as many bytes as it has is incompressible: nothing near it and no known identifier explains it.
+adds nearly as many bytes as random strings of its length and alphabet add in its place is incompressible: nothing near it and no
+known identifier explains it. Its copies after sensitive words are taken out of the surroundings first, so a repeated key is no
+less novel; a copy elsewhere makes it public.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; of novel spans those inside a base
 span are left out; each row is judged by itself, so ties and repeated rows need no rule; other columns are kept by `redact`.
@@ -11,8 +13,11 @@ span are left out; each row is judged by itself, so ties and repeated rows need
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import compress
 
 import pandas as pd
 import zstandard
@@ -30,10 +35,17 @@ ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 SENSITIVE = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"credential", b"private_key", b"privatekey", b"access_key", b"auth", b"bearer")
 SENSITIVE_RE = re.compile("|".join(re.escape(w.decode()) for w in SENSITIVE), re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Parts of a candidate that count as copies of it where they recur.
+PIECE = re.compile(r"[A-Za-z0-9]{16,}")
 #: Characters after a sensitive word in which a candidate must begin, and characters of surroundings on either side.
 REACH, AROUND = 48, 200
-#: A candidate is reported from that many marginal bytes for each of its own.
+#: A candidate is reported from that many marginal bytes for each of a random string in its place or each of
+#: its own, or from as many as the least of the random strings.
 NOVELTY = 0.85
+#: Random strings that a candidate is compared with.
+DRAWS = 5
+#: Kinds of characters: a random string has all those of a kind that the candidate has, and its other characters as they are.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: What code and identifiers are made of; the dictionary that primes the compressor.
 IDENTIFIERS = """
 import from return class function def public private static const let var new null none true false self this async await
@@ -49,6 +61,14 @@ AAAAAAAAAAAAAAAA xxxxxxxxxxxxxxxx 0000000000000000 1234567890 abcdefghijklmnopqr
 """.strip()
 
 
+def alphabet(s: str) -> str:
+    """The characters that a random string like s is made of."""
+    for kind in ALPHABETS[:3]:
+        if all(c in kind for c in s):
+            return kind
+    return "".join(sorted({c for x in s for c in next((k for k in ALPHABETS[2:] if x in k), x)}))
+
+
 class Scanner:
     def __init__(self, identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> None:
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -56,10 +76,23 @@ class Scanner:
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_dict_id=False)
         self.novelty = novelty
 
-    def marginal(self, text: str, a: int, b: int) -> int:
-        """Compressed bytes that text[a:b] adds to its surroundings."""
-        before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
-        return self.size(before + text[a:b] + after) - self.size(before + after)
+    def marginal(self, text: str, a: int, b: int, runs: list[tuple[int, int]]) -> tuple[int, float]:
+        """Compressed bytes that text[a:b] adds to its surroundings, and from how many on it is as novel as random strings in its place."""
+        s, lo, hi = text[a:b], max(0, a - AROUND), min(len(text), b + AROUND)
+        keep = bytearray(b"\1") * (hi - lo)
+        copies = {s, *PIECE.findall(s)}
+        for x, y in runs[bisect_right(runs, lo, key=lambda r: r[1]) : bisect_left(runs, hi, key=lambda r: r[0])]:
+            if y <= a or x >= b:
+                for copy in copies:
+                    at = text.find(copy, x, y)
+                    while at >= 0:
+                        p, q = max(at, lo) - lo, min(at + len(copy), hi) - lo
+                        keep[p:q] = bytes(max(q - p, 0))
+                        at = text.find(copy, at + len(copy), y)
+        before, after = ("".join(compress(text[x:y], keep[x - lo : y - lo])) for x, y in ((lo, a), (b, hi)))
+        least, draw, letters = self.size(before + after), random.Random(s), alphabet(s)
+        others = [self.size(before + "".join(draw.choices(letters, k=len(s))) + after) - least for _ in range(DRAWS)]
+        return self.size(before + s + after) - least, min(self.novelty * min(sum(others) / DRAWS, len(s)), min(others))
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind), by start and then kind as in KINDS."""
@@ -86,12 +119,14 @@ class Scanner:
                     break
                 found[m.start()] = m.end()
         out, done = [], -1
-        for a, b in sorted(found.items()):
+        runs = sorted(found.items())
+        for a, b in runs:
             s = text[a:b]
             # a run of one kind of letters is a word, however odd
             if b <= done or s.isalpha() or any(x <= a and b <= y for x, y, _ in base) or not any(c.isdigit() for c in s):
                 continue
-            if self.marginal(text, a, b) >= self.novelty * len(s):
+            own, least = self.marginal(text, a, b, runs)
+            if own >= least:
                 out.append((a, b, "novel"))
                 done = b
         return out
