@@ -255,6 +255,14 @@ def test_outliers_go_and_others_stay(spark, empty):
     assert quality.report(empty).count() == 0 and quality.keep(empty).count() == 0
 
 
+@pytest.mark.parametrize("junk, mark", [(130, "#"), (200, "###")])
+def test_outliers_go_where_much_is_junk(spark, junk, mark):
+    r = random.Random(7)
+    rows = [(i, words(r, r.randint(60, 300)), "en", "a", 0) for i in range(300)] + [(1000 + i, " ".join(x + mark for x in words(r, r.randint(60, 300)).split()), "en", "a", 0) for i in range(junk)]
+    got = {x["doc_id"]: x["kept"] for x in quality.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(junk))
+
+
 def test_distance_is_that_of_the_estimates(spark):
     r = random.Random(6)
     rows = [(i, words(r, r.randint(60, 300)), "en", "a", 0) for i in range(250)]

@@ -1,8 +1,8 @@
 """Quality rules: base rules, then robust multivariate outliers by the minimum covariance determinant.
 
 Everything here is DataFrame and SQL functions. Each document gets a vector of transformed statistics; for each language and
-source, concentration steps look for the half of the rows whose covariance has the least determinant, and rows far from that
-centre by Mahalanobis distance are rejected.
+source, concentration steps look for the half of the rows whose covariance has the least determinant. The estimate is made anew from
+the rows near that half, and rows far from its centre by Mahalanobis distance are rejected.
 
 Defined results: a null text has no words (base_failed); null lang or source is a group of its own; groups of fewer than
 `min_group` rows use the estimate of their language, and small languages that of all rows; rows are judged one by one, so
@@ -22,8 +22,10 @@ DIMS = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Standard deviations that are added to the estimates: below such a spread a statistic does not count as varying.
 FLOORS = (0.6, 0.12, 0.25, 0.3, 0.2)
-#: Share of a group's rows whose covariance is sought.
-CORE = 0.75
+#: Share of a group's rows whose covariance is sought: half of them stand most junk.
+CORE = 0.5
+#: The last estimate is that of the rows with squared distances up to the chi-square quantile for 5 dimensions at NEAR.
+NEAR, NEAR_CUT = 0.975, 12.8325
 #: Squared distances beyond this are outliers: the chi-square quantile for 5 dimensions at 1 - 1e-5.
 CUT = 30.86
 MIN_GROUP = 200
@@ -118,7 +120,7 @@ def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, min_group: int
     """The estimate for each language and source of rows (as of `measured`): columns _lang, _source, m1.., l11...
 
     Two starts, all rows and the rows without symbols and repetition, take concentration steps; the one with the lesser
-    determinant wins. Order statistics come from histograms of the distance on a fixed logarithmic grid, so a
+    determinant wins, and rows near it give the last estimate (with no steps there is none). Order statistics come from histograms of the distance on a fixed logarithmic grid, so a
     group of any size meets as a bounded number of counts.
     """
     s = rows.where("not base_failed").select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[f"x{i}" for i in range(1, DIMS + 1)])
@@ -141,10 +143,14 @@ def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, min_group: int
         cut = (
             d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("k"))
             .select("g", "start", "bin", (F.sum("k").over(upto) - F.col("k")).alias("below"), F.sum("k").over(of_all).alias("n_all"))
-            .where(F.col("below") < F.col("n_all") * core).groupBy("g", "start").agg(F.max("bin").alias("last"))
+            .where(F.col("below") < (F.col("n_all") + DIMS + 1) * core).groupBy("g", "start").agg(F.max("bin").alias("last"))
         )
         p = written(_estimates(d.drop("n", "logdet").join(cut, ["g", "start"]).where("bin <= last"), ["g", "start"]), "mcd-step")
     best = p.groupBy("g").agg(F.min(F.struct("logdet", "start", *[f"m{i}" for i in range(1, DIMS + 1)], *[f"l{i}{j}" for i, j in _tri()])).alias("b")).select("g", "b.*")
+    if steps:
+        best = written(best, "mcd-best")
+        near = _distance(grouped.join(best, "g")).where(F.col("d2") / consistency(core) <= NEAR_CUT)
+        best = _estimates(near, ["g"]).drop("n")
     return written(level.join(best, "g").drop("g", "start").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "mcd-fit")
 
 
@@ -164,7 +170,7 @@ def consistency(core: float = CORE) -> float:
 def _verdict(rows: DataFrame, estimates: DataFrame, cut: float) -> DataFrame:
     """Adds d2 and kept to rows with _lang, _source and the statistics."""
     j = _distance(rows.join(estimates, ["_lang", "_source"], "left"))
-    far = F.coalesce(F.col("d2") / consistency() > cut, F.lit(False))
+    far = F.coalesce(F.col("d2") / consistency(NEAR) > cut, F.lit(False))
     return j.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
