@@ -525,6 +525,18 @@ def test_languages(spark, empty):
     assert language.predict(empty, model).count() == 0
 
 
+def test_languages_keep_their_order_at_every_size(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choices("abcdefgh" if i % 3 else "efghijkl", k=r.randint(2, 7))) for _ in range(30)), "xyz"[i % 3], "a", 0) for i in range(90)]
+    d = spark.createDataFrame(rows, DOCS)
+    whole = language.train(d)
+    monkeypatch.setattr(language, "MAX_GRAMS", 100)
+    dealt = language.train(d)
+    texts = [x[1] for x in rows]
+    assert dealt.order == whole.order == language.ORDER and dealt.langs == whole.langs
+    assert np.allclose(dealt.entropies(texts)[0], whole.entropies(texts)[0], atol=1e-5) and dealt.predict(texts)[0] == whole.predict(texts)[0]
+
+
 def test_languages_of_the_data(spark, sf):
     got = language.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)

@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 Letters are classes of 6 bits: a to z have one each, other letters share 37 by a hash, and any run of other characters
-is one boundary. So a model has at most 64 ** order entries, whatever it is trained on, and can be broadcast. Counts come from all
+is one boundary. So a model has at most 64 ** order entries a language, whatever it is trained on, and can be broadcast. The order is the same
+at every size: many or rich languages are dealt to several models, collected one at a time, which gives the same entropies. Counts come from all
 training documents, summed in each task before they are shuffled. A model is a sorted array of packed n-grams for each
 order, with log probabilities and back-off weights beside it. A document gets the language of the lowest cross-entropy per letter; the margin to
 the second one, through a logistic function fitted on a bounded sample of the training documents, is its score.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import small_batches, table
 
 ORDER = 4
-#: A model with more n-grams than this over all languages is made anew with an order less. 64 ** 2 a language always fits.
+#: n-grams times languages of a model that several languages share, at most; further languages get models of their own.
 MAX_GRAMS = 2_000_000
 #: Documents that the score's logistic function is fitted on, at most about.
 CALIBRATION_ROWS = 4000
@@ -214,23 +215,45 @@ class Model:
         self.calibration = (float(max(w[0], 0.0)), float(w[1]))
 
 
+class Shards(Model):
+    """Models of different languages as one: a language's entropies do not depend on the other ones."""
+
+    def __init__(self, parts: list[Model]) -> None:
+        self.parts, self.order, self.calibration = parts, parts[0].order, (1.0, 0.0)
+        self.langs = [x for p in parts for x in p.langs]
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        got = [p.entropies(texts) for p in self.parts]
+        return np.concatenate([e for e, _ in got], 1), got[0][1]
+
+
+def _dealt(size: dict[str, int]) -> list[list[str]]:
+    """Languages by name, in groups of at most MAX_GRAMS n-grams times languages or of one language."""
+    out, total = [], 0
+    for lang in sorted(size):
+        if not out or (total + size[lang]) * (len(out[-1]) + 1) > MAX_GRAMS:
+            out.append([])
+            total = 0
+        out[-1].append(lang)
+        total += size[lang]
+    return out
+
+
 def train(docs: DataFrame, order: int = ORDER, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """The models of all languages of docs (doc_id, text, lang)."""
     found = counts(docs, order).persist()
     try:
-        size = found.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.max("n")).collect()
+        size = {r["lang"]: r["k"] for r in found.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
         if not size:
             return None
-        while sum(r["k"] for r in size) > MAX_GRAMS and order > 2:  # at most 64 ** order a language
-            order -= 1
-            found = found.groupBy("lang", F.col("gram").bitwiseAND((1 << 6 * order) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-            size = found.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()
-        rows = found.toPandas()
+        parts = []
+        for langs in _dealt(size):
+            rows = found.where(F.col("lang").isin(langs)).toPandas().sort_values(["lang", "gram"])
+            by = {lang: x for lang, x in rows.groupby("lang")}
+            parts.append(Model(langs, [(by[k]["gram"].to_numpy(), by[k]["n"].to_numpy()) for k in langs], order))
     finally:
         found.unpersist()
-    rows = rows.sort_values(["lang", "gram"])
-    by = {lang: x for lang, x in rows.groupby("lang")}
-    model = Model(sorted(by), [(by[k]["gram"].to_numpy(), by[k]["n"].to_numpy()) for k in sorted(by)], order)
+    model = parts[0] if len(parts) == 1 else Shards(parts)
     usable = docs.where("text is not null and lang is not null")
     every = max(1, docs.where("lang is not null").count() // calibration_rows)
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "lang").limit(2 * calibration_rows).collect()
