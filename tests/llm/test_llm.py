@@ -483,6 +483,15 @@ def test_hits_of_empty_tables(spark, docs, empty):
     assert decontaminate.report(empty, none).count() == 0 and decontaminate.clean(docs, none).count() == docs.count()
 
 
+def test_decontamination_in_slices_judges_each_row_by_itself(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    other = " ".join(f"v{i}" for i in range(12))
+    d = spark.createDataFrame([(None, item), (None, other), (1, item), (1, other), (1, other)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, item if i == 0 else f"z{i} " * 12) for i in range(4)], "item_id bigint, text string")
+    got = Counter((x["doc_id"], bool(x["hit_spans"])) for x in decontaminate.hits(d, b, slice_bytes=60).collect())
+    assert got == {(None, True): 1, (None, False): 1, (1, True): 1, (1, False): 2}
+
+
 # ── 8: languages ─────────────────────────────────────────────────────────────
 
 

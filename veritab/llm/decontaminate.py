@@ -105,13 +105,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = S
             windows = Windows(shared.value, n)
             for b in batches:
                 found = windows.scan(utf8(b["text"]))
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_words": [x[0] for x in found], "hit_spans": [x[1] for x in found], "items": [sorted(x[2]) for x in found]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_words": [x[0] for x in found], "hit_spans": [x[1] for x in found], "items": [sorted(x[2]) for x in found], "digest": [hashlib.sha256(x).hexdigest() for x in utf8(b["text"])]})
 
         scans.append(scan)
     if len(scans) == 1:
-        return source.mapInPandas(scans[0], SCHEMA)
+        return source.mapInPandas(scans[0], f"{SCHEMA}, digest string").drop("digest")
     source = source.withColumn("text", F.col("text"))
-    keyed = [source.mapInPandas(s, SCHEMA) for s in scans]
+    keyed = [source.mapInPandas(s, f"{SCHEMA}, digest string") for s in scans]
     union = keyed[0]
     for k in keyed[1:]:
         union = union.unionByName(k)
@@ -127,7 +127,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = S
                 out += [a, b]
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"), "n_words": rows["n_words"].iloc[:1], "hit_spans": [out], "items": [sorted({x for i in rows["items"] for x in i})]}).loc[lambda d: d.index.repeat(max(1, len(rows) // copies))]
 
-    return union.groupBy("doc_id", "n_words").applyInPandas(merge, SCHEMA)
+    return union.groupBy("doc_id", "digest").applyInPandas(merge, SCHEMA)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
