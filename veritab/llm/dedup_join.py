@@ -23,31 +23,35 @@ Defined results: a null text, and one without words, has an empty set and is lin
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .bytehash import SPACED, Words, chunks, mix, utf8
-from .common import input_bytes, parts_for, small_batches, table, written
+from .common import Scratch, parts_for, small_batches, table, written
 
 WORDS = 5
 #: Sets of fewer shingles have a block for each.
 SMALL = 64
-#: Blocks that more sets share than this give stars first.
-ALL_PAIRS = 3
-#: Pairs that are broadcast to the texts, at most: 32 bytes each.
+#: Blocks that more sets share than this give stars first; others give at most 28 pairs.
+ALL_PAIRS = 8
+#: Ends of pairs that are broadcast to the texts, at most: 32 bytes each.
 BROADCAST_PAIRS = 500_000
-#: Ids of documents to leave out that are broadcast, at most: 8 bytes each.
+#: Ids that are broadcast, with a label or not, at most: 16 bytes each.
 BROADCAST_IDS = 1_000_000
 #: A shingle is very frequent from that share of the documents on. Over all documents there are at most 1 / HOT_SHARE times the mean number of shingles.
 HOT_SHARE, HOT_LEAST = 5e-4, 30
 #: Shingles that are counted at a time.
 COUNTED = 2_000_000
-BUCKET_BYTES = 32 << 20
-#: Rounds of stars around other members before what is left is compared in full, and sets of a side of a rectangle then.
-STAR_ROUNDS, SIDE = 1, 2000
+#: Bytes of signatures and ids of a bucket, about.
+BUCKET_BYTES = 16 << 20
+#: Size classes that similar sets can be apart, and texts that are compared with a hub in one task.
+NEAR_CLASSES, HUB_TEXTS = 5, 64
+#: Rounds of stars around other members before what is left is compared as sketches, and sets of a side of a family then.
+STAR_ROUNDS, SIDE = 1, 400
 U = np.uint64
 
 
@@ -115,13 +119,16 @@ def bits(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(((s * U(0xC2B2AE3D27D4EB4F)) >> U(40)).astype(np.int64) % m, minlength=m) % 2 == 1).tobytes()
 
 
+def thin(sketch: bytes) -> bytes:
+    """The sketch folded to a quarter of its bits, 64 at least: enough to tell most pairs apart."""
+    x = np.frombuffer(sketch, U)
+    return np.bitwise_xor.reduce(x.reshape(-1, max(1, len(x) // 4)), 0).tobytes()
+
+
 def hamming(x: bytes, y: bytes) -> int:
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, width), 0) ^ np.bitwise_xor.reduce(b.reshape(-1, width), 0)).sum())
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -129,12 +136,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both) and both > 0
 
 
+def size_class(n: int) -> int:
+    """Twelfths of an octave. Sizes within 4/3 of each other are at most NEAR_CLASSES classes apart; sizes from 2 ** 21.25 on are one class."""
+    return min(255, int(12 * math.log2(n) + 1e-9)) if n else 0
+
+
 def _set_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+    """56 bits of a hash of the set, then its size class: whoever sees two ids can tell sizes that do not match."""
+    return (int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=7).digest(), "little", signed=True) << 8) | size_class(len(s))
+
+
+def _sizes_match(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.abs((u & 255) - (v & 255)) <= NEAR_CLASSES
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, set_id, bits, weak of each row of docs; and rows of h, k: shingles that are frequent among many documents of a task."""
+    """doc_id, n, set_id, bits, thin, weak of each row of docs; and rows of h, k: shingles that are frequent among many documents of a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n_held, n_docs = [], 0, 0
@@ -149,7 +166,7 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             m, whole = len(h), lambda x: pd.array(x, "Int64")
             ids, n, sets_, sketches, flags = zip(*rows) if rows else [()] * 5
             none = [None] * m
-            return pd.DataFrame({"doc_id": whole([*ids, *none]), "n": whole([*n, *none]), "set_id": whole([*sets_, *none]), "bits": [*sketches, *none], "weak": pd.array([*flags, *none], "boolean"), "h": whole([None] * len(rows) + [int(x) for x in h]), "k": whole([None] * len(rows) + [int(x) for x in k])})
+            return pd.DataFrame({"doc_id": whole([*ids, *none]), "n": whole([*n, *none]), "set_id": whole([*sets_, *none]), "bits": [*sketches, *none], "thin": [*map(thin, sketches), *none], "weak": pd.array([*flags, *none], "boolean"), "h": whole([None] * len(rows) + [int(x) for x in h]), "k": whole([None] * len(rows) + [int(x) for x in k])})
 
         for b in batches:
             got = shingles(utf8(b["text"]), words)
@@ -162,11 +179,11 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         if n_held:
             yield frame([], *frequent())
 
-    return docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n bigint, set_id bigint, bits binary, weak boolean, h bigint, k bigint")
+    return docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n bigint, set_id bigint, bits binary, thin binary, weak boolean, h bigint, k bigint")
 
 
 def _blobs(docs: DataFrame, n_buckets: int, hot, weak_sizes: tuple[int, int] | None, words: int) -> DataFrame:
-    """bucket, sigs, ids: packed arrays of signatures and the ids of their sets; bucket is at or over n_buckets for salted ones."""
+    """bucket, sigs, ids, runs: packed signatures by set, the ids of the sets and how many signatures each has; bucket is at or over n_buckets for salted ones."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = hot.value
@@ -190,22 +207,26 @@ def _blobs(docs: DataFrame, n_buckets: int, hot, weak_sizes: tuple[int, int] | N
             sig, ids, often = np.concatenate(sig), np.concatenate(ids), np.concatenate(often)
             bucket = (sig % U(n_buckets)).astype(np.int64)
             bucket[often] = n_buckets + (bucket[often] + ids[often]) % n_buckets
-            order = np.argsort(bucket, kind="stable")  # within a bucket by set, which compresses well
+            order = np.argsort(bucket, kind="stable")  # within a bucket by set
             sig, ids, bucket = sig[order], ids[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            ends = [*cut[1:], len(bucket)]
-            yield pd.DataFrame({"bucket": bucket[cut], "sigs": [sig[x:y].tobytes() for x, y in zip(cut, ends)], "ids": [ids[x:y].tobytes() for x, y in zip(cut, ends)]})
+            out = []
+            for x, y in zip(cut, [*cut[1:], len(bucket)]):
+                own = ids[x:y]
+                new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                out.append((sig[x:y].tobytes(), own[new].tobytes(), np.diff(np.append(new, y - x)).astype(np.uint32).tobytes()))
+            yield pd.DataFrame({"bucket": bucket[cut], **{c: list(v) for c, v in zip(("sigs", "ids", "runs"), zip(*out))}})
 
-    return docs.select("text").mapInPandas(run, "bucket bigint, sigs binary, ids binary")
+    return docs.select("text").mapInPandas(run, "bucket bigint, sigs binary, ids binary, runs binary")
 
 
 def _candidates(blobs: DataFrame, n_buckets: int) -> DataFrame:
-    """u, v: pairs of set ids. Rows with sig: u is a member of a block that gave a star, whose hub is v."""
+    """u, v: pairs of set ids whose sizes match. Rows with sig: u is a member of a block that gave a star, whose hub is v."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         salted = key[0] >= n_buckets
         sig = np.concatenate([np.frombuffer(x, U) for x in rows["sigs"]])
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
+        ids = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["runs"]]))
         order = np.argsort(sig, kind="stable")
         sig, ids = sig[order], ids[order]
         cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -214,9 +235,8 @@ def _candidates(blobs: DataFrame, n_buckets: int) -> DataFrame:
         two = cut[size == 2] if not salted else cut[:0]
         u.append(ids[two])
         v.append(ids[two + 1])
-        for a, n in zip(cut.tolist(), size.tolist()):
-            if not salted and n <= 2:
-                continue
+        several = (size > 2) | salted
+        for a, n in zip(cut[several].tolist(), size[several].tolist()):
             m = np.unique(ids[a : a + n])
             if len(m) <= ALL_PAIRS and not salted:
                 x, y = np.triu_indices(len(m), 1)
@@ -227,8 +247,9 @@ def _candidates(blobs: DataFrame, n_buckets: int) -> DataFrame:
                 u.append(np.full(len(m) - 1, m[0]))
                 v.append(m[1:])
         u, v = np.concatenate(u), np.concatenate(v)
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        pairs = np.unique(np.stack([low, high], 1)[low != high], axis=0) if len(low) else np.zeros((0, 2), np.int64)
+        fits = (u != v) & _sizes_match(u, v)
+        low, high = np.minimum(u, v)[fits], np.maximum(u, v)[fits]
+        pairs = np.unique(np.stack([low, high], 1), axis=0)
         out = [pd.DataFrame({"sig": pd.array([None] * len(pairs), "Int64"), "u": pairs[:, 0], "v": pairs[:, 1]})]
         if stars:
             out.append(pd.DataFrame({"sig": pd.array(np.repeat(np.array([s for s, _ in stars], U).view(np.int64), [len(m) for _, m in stars]), "Int64"), "u": np.concatenate([m for _, m in stars]), "v": np.concatenate([np.full(len(m), m[0]) for _, m in stars])}))
@@ -237,123 +258,128 @@ def _candidates(blobs: DataFrame, n_buckets: int) -> DataFrame:
     return blobs.groupBy("bucket").applyInPandas(run, "sig bigint, u bigint, v bigint")
 
 
-def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs u, v that are similar. kinds: set_id, n, bits, first (a document that has the set)."""
-    spark = pairs.sparkSession
-    side = lambda p: kinds.select(F.col("set_id").alias(p), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits{p}"), F.col("first").alias(f"first{p}"))
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df (written), to be broadcast if it has at most that many rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [hamming(x, y) <= (n + m) // 7 for x, y, n, m in zip(b["bitsu"], b["bitsv"], b["nu"], b["nv"])]
-            yield b.loc[ok, ["u", "v", "firstu", "firstv"]]
 
-    sized = pairs.join(side("u"), "u").where("nu > 0").join(side("v"), "v").where("4 * nu >= 3 * nv and 4 * nv >= 3 * nu")
-    maybe = written(sized.mapInPandas(close, "u bigint, v bigint, firstu bigint, firstv bigint"), "sketch-pairs")
-    texts = docs.select("doc_id", "text")
-    if maybe.count() <= BROADCAST_PAIRS:
-        # few enough to go to the texts: only texts of pairs are shuffled
-        ends = maybe.select("u", "v", F.explode(F.array(F.struct(F.col("firstu").alias("doc_id"), F.lit(True).alias("left")), F.struct(F.col("firstv").alias("doc_id"), F.lit(False).alias("left")))).alias("e")).select("u", "v", "e.*")
-        both = texts.join(F.broadcast(ends), "doc_id").groupBy("u", "v").agg(F.collect_set(F.when(F.col("left"), F.col("text"))).alias("tu"), F.collect_set(F.when(~F.col("left"), F.col("text"))).alias("tv"))
-    else:
-        both = maybe.join(texts.select(F.col("doc_id").alias("firstu"), F.array("text").alias("tu")), "firstu").join(texts.select(F.col("doc_id").alias("firstv"), F.array("text").alias("tv")), "firstv")
+def _verified(pairs: DataFrame, kinds: DataFrame, docs: DataFrame, words: int, keep: Scratch) -> DataFrame:
+    """The pairs u, v that are similar. kinds: set_id, n, thin, first (a document that has the set).
+
+    Pairs that pass the thin sketches are compared on their texts, by hub: in a task, the text of v once and those of up to
+    HUB_TEXTS partners.
+    """
+    side = lambda p: kinds.select(F.col("set_id").alias(p), F.col("n").alias(f"n{p}"), F.col("thin").alias(f"bits{p}"), F.col("first").alias(f"first{p}"))
 
-    def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            names = {t: i for i, t in enumerate(dict.fromkeys(t for c in ("tu", "tv") for ts in b[c] for t in ts))}
-            got = shingles(utf8(names), words)
-            ids = [_set_id(s) for s in got]
+            ok = [4 * n >= 3 * m and 4 * m >= 3 * n and hamming(x, y) <= (n + m) // 7 for x, y, n, m in zip(b["bitsu"], b["bitsv"], b["nu"], b["nv"])]
+            yield b.loc[ok, ["u", "v", "firstu", "firstv"]]
 
-            def of(ts, want):
-                # rows that share a doc_id can bring another text than the set's
-                return next((got[names[t]] for t in ts if ids[names[t]] == want), None)
+    maybe = keep.written(pairs.join(side("v"), "v").join(side("u"), "u").mapInPandas(close, "u bigint, v bigint, firstu bigint, firstv bigint"), "sketch-pairs")
+    degree = maybe.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / HUB_TEXTS).alias("parts"))
+    ends = maybe.join(degree, "v").withColumn("part", F.pmod(F.xxhash64("u"), "parts"))
+    ends = ends.select("v", "part", F.explode(F.array(F.struct(F.col("firstu").alias("doc_id"), F.col("u").alias("set_id")), F.struct(F.col("firstv").alias("doc_id"), F.col("v").alias("set_id")))).alias("e")).select("v", "part", "e.*").distinct()
+    ends = keep.written(ends, "ends")
 
-            ok = []
-            for tu, tv, u, v in zip(b["tu"], b["tv"], b["u"], b["v"]):
-                x, y = of(tu, u), of(tv, v)
-                ok.append(x is not None and y is not None and similar(x, y))
-            yield b.loc[ok, ["u", "v"]]
+    def same(key, rows: pd.DataFrame) -> pd.DataFrame:
+        # rows that share a doc_id can bring another text than the set's
+        found = {}
+        for s in shingles(utf8(dict.fromkeys(rows["text"])), words):
+            found.setdefault(_set_id(s), s)
+        hub = found.get(key[0])
+        ok = [] if hub is None else [u for u in rows["set_id"].unique() if u != key[0] and u in found and similar(found[u], hub)]
+        return pd.DataFrame({"u": np.array(ok, np.int64), "v": np.full(len(ok), key[0], np.int64)})
 
-    return written(both.select("u", "v", "tu", "tv").mapInPandas(same, "u bigint, v bigint").distinct(), "links")
+    both = docs.select("doc_id", "text").join(_few(ends, BROADCAST_PAIRS), "doc_id").select("v", "part", "set_id", "text")
+    return keep.written(both.groupBy("v", "part").applyInPandas(same, "u bigint, v bigint"), "links")
 
 
-def components(edges: DataFrame) -> DataFrame | None:
+def components(edges: DataFrame, keep: Scratch) -> DataFrame | None:
     """node, label of the connected components of edges u, v by contraction; None without edges.
 
     Each round, every node goes to the least of itself and its neighbours, and edges are renamed. Ids are hashes, so the
     nodes that stay are a random share, and the rounds are logarithmic in number.
     """
     maps = []
-    e = edges.where("u <> v").select("u", "v").distinct()
-    e = written(e, "edges")
+    e = keep.written(edges.where("u <> v").select("u", "v").distinct(), "edges")
     while not e.isEmpty():
-        m = written(e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "contract")
+        m = keep.written(e.union(e.select("v", "u")).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "contract")
         maps.append(m)
         x, y = m.select(F.col("node").alias("u"), F.col("to").alias("u2")), m.select(F.col("node").alias("v"), F.col("to").alias("v2"))
         e = e.join(x, "u").join(y, "v").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).where("u <> v").distinct()
-        e = written(e, "edges")
+        e = keep.written(e, "edges")
     if not maps:
         return None
     out = maps[0].select("node", F.col("to").alias("label"))
     for m in maps[1:]:
         out = out.join(m.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return written(out, "components")
+    return keep.written(out, "components")
 
 
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+def _joined(labels: DataFrame | None, links: DataFrame, keep: Scratch) -> DataFrame | None:
     """labels after more links: only the links between components are contracted."""
     if labels is None:
-        return components(links)
+        return components(links, keep)
     of = lambda p: labels.select(F.col("node").alias(p), F.col("label").alias(f"l{p}"))
     e = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    more = components(e)
+    more = components(e, keep)
     if more is None:
         return labels
     to = more.select(F.col("node").alias("label"), F.col("label").alias("to"))
     old = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     new = more.join(labels.select("node"), "node", "left_anti")
-    return written(old.unionByName(new), "components")
+    return keep.written(old.unionByName(new), "components")
 
 
-def _split(stars: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _split(stars: DataFrame, labels: DataFrame | None, keep: Scratch) -> DataFrame:
     """sig, u, label of the blocks that several components are in."""
-    s = stars.select("sig", "u").distinct()
-    s = s.join(labels.withColumnRenamed("node", "u"), "u", "left").select("sig", "u", F.coalesce("label", "u").alias("label")) if labels is not None else s.withColumn("label", F.col("u"))
+    s = stars.select("sig", "u", F.col("u").alias("label"))
+    if labels is not None:
+        s = stars.join(_few(labels.withColumnRenamed("node", "u"), BROADCAST_IDS), "u", "left").select("sig", "u", F.coalesce("label", "u").alias("label"))
     several = s.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
-    return s.join(several, "sig", "left_semi")
+    return keep.written(s.join(_few(keep.written(several, "several"), BROADCAST_IDS), "sig", "left_semi"), "split")
 
 
 def _more_stars(split: DataFrame, seed: int) -> DataFrame:
     """u, v: in each block, the members of other components with a random member v of the component that most of the block is in."""
     sizes = split.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("u", F.lit(seed)), "u")).alias("r"))
     hub = sizes.groupBy("sig").agg(F.max(F.struct("k", "label", F.col("r.u").alias("v"))).alias("h")).select("sig", F.col("h.label").alias("own"), F.col("h.v").alias("v"))
-    return split.join(hub, "sig").where("label <> own").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return split.join(hub, "sig").where((F.col("label") != F.col("own")) & _classes_match("u", "v")).select("u", "v").distinct()
 
 
-def _rest(split: DataFrame, kinds: DataFrame) -> DataFrame:
+def _classes_match(u: str, v: str) -> Column:
+    return F.abs(F.col(u).bitwiseAND(255) - F.col(v).bitwiseAND(255)) <= NEAR_CLASSES
+
+
+def _rest(split: DataFrame, seen: DataFrame, keep: Scratch) -> DataFrame:
     """Pairs of different components from blocks that several are still in, after size and sketch.
 
-    Blocks with the same least member have much the same members: they are taken together, so that a pair is compared once rather than
-    for each block, in rectangles of at most about SIDE times SIDE sets. Only pairs that pass leave the comparison.
+    Blocks with the same member of most blocks have much the same members, a family: they are taken together, so that a pair is compared
+    once rather than for each block. A family of over SIDE sets is cut into sides, and each two sides meet in a task of their own. Only
+    pairs that pass leave the comparison.
     """
-    first = split.groupBy("sig").agg(F.min("u").alias("hub"))
-    g = split.join(first, "sig").select("hub", "u", "label").distinct().join(kinds.select(F.col("set_id").alias("u"), "n", "bits"), "u")
-    sizes = g.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("blocks"))
-    b = g.join(sizes, "hub").groupBy("hub", F.pmod(F.xxhash64("u"), "blocks").alias("block")).agg(F.collect_list(F.struct("u", "label", "n", "bits")).alias("sets"))
-    b = written(b, "families")
-    both = b.join(b.select("hub", F.col("block").alias("other"), F.col("sets").alias("others")), "hub").where("block <= other")
+    involved = keep.written(split.groupBy(F.col("u").alias("set_id")).agg(F.count(F.lit(1)).alias("blocks")), "involved")
+    hubs = split.join(_few(involved.withColumnRenamed("set_id", "u"), BROADCAST_IDS), "u").groupBy("sig").agg(F.max(F.struct("blocks", "u")).alias("h")).select("sig", F.col("h.u").alias("hub"))
+    family = keep.written(split.join(_few(keep.written(hubs, "hubs"), BROADCAST_IDS), "sig").select("hub", "u", "label").distinct(), "family")
+    bits_of = seen.where("n > 0").join(_few(involved.select("set_id"), BROADCAST_IDS), "set_id", "left_semi").groupBy(F.col("set_id").alias("u")).agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sides = family.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("sides"))
+    g = family.join(sides, "hub").withColumn("side", F.pmod(F.xxhash64("u"), "sides").cast("int"))
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    g = g.select("hub", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "u", "label").join(bits_of, "u")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            for left, right in zip(x["sets"], x["others"]):
-                u, v = near(_arrays(left), _arrays(right))
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-                yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _, x, y = key
+        left = _arrays(rows[rows["side"] == x])
+        u, v = near(left, left if x == y else _arrays(rows[rows["side"] == y]))
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
-    return written(both.select("sets", "others").mapInPandas(run, "u bigint, v bigint").distinct(), "rest")
+    return keep.written(g.groupBy("hub", "x", "y").applyInPandas(run, "u bigint, v bigint").distinct(), "rest")
 
 
-def _arrays(sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    return (*(np.array([x[k] for x in sets], np.int64) for k in ("u", "label", "n")), [bytes(x["bits"]) for x in sets])
+def _arrays(sets: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    return (*(sets[k].to_numpy(np.int64) for k in ("u", "label", "n")), [bytes(x) for x in sets["bits"]])
 
 
 def _folded(sketches: list[bytes], width: int) -> np.ndarray:
@@ -390,36 +416,45 @@ def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
+    keep = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    seen = written(sets(docs, words), "sets")
+    seen = keep.written(sets(docs, words), "sets")
     of_doc = seen.where("n is not null")
-    kinds = of_doc.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("first"))
-    kinds = written(kinds, "kinds")
-    total, lowest, highest = of_doc.agg(F.count(F.lit(1)), F.min(F.when(F.col("weak"), F.col("n"))), F.max(F.when(F.col("weak"), F.col("n")))).first()
+    kinds = of_doc.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("thin").alias("thin"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    kinds = keep.written(kinds.where("first is not null"), "kinds")
+    total, volume, lowest, highest = of_doc.agg(F.count(F.lit(1)), F.sum("n"), F.min(F.when(F.col("weak"), F.col("n"))), F.max(F.when(F.col("weak"), F.col("n")))).first()
     least = max(HOT_LEAST, int(total * HOT_SHARE))
     # at most the mean number of shingles / HOT_SHARE hashes, whatever the number of documents
     frequent = seen.where("h is not null").groupBy("h").agg(F.sum("k").alias("k")).where(F.col("k") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
     hot = spark.sparkContext.broadcast(np.sort(frequent.view(U)))
-    n_buckets = parts_for(2 * input_bytes(docs), BUCKET_BYTES, spark)
-    found = written(_candidates(_blobs(docs.where("doc_id is not null"), n_buckets, hot, (lowest, highest) if lowest else None, words), n_buckets), "candidates")
-    stars = found.where("sig is not null")
+    # about half as many signatures as shingles, of 16 bytes with the id
+    n_buckets = parts_for(8 * (volume or 0), BUCKET_BYTES, spark)
+    found = keep.written(_candidates(_blobs(docs.where("doc_id is not null"), n_buckets, hot, (lowest, highest) if lowest else None, words), n_buckets), "candidates")
+    # a block and a member meet in one bucket only, so these rows are distinct
+    stars = found.where("sig is not null").select("sig", "u")
     # hubs of a salted block are joined by a star of their own
-    hubs = stars.select("sig", F.col("v").alias("hub")).distinct()
-    tops = hubs.groupBy("sig").agg(F.min("hub").alias("top")).join(hubs, "sig").where("top <> hub").select(F.col("top").alias("u"), F.col("hub").alias("v"))
-    pairs = found.where("sig is null").select("u", "v").union(tops).distinct()
-    links = _verified(pairs, kinds, docs, words)
-    labels = components(links)
+    hubs = found.where("sig is not null").select("sig", F.col("v").alias("hub")).distinct()
+    tops = hubs.groupBy("sig").agg(F.min("hub").alias("top"), F.max("hub").alias("last")).where("top <> last")
+    tops = tops.join(hubs, "sig").where((F.col("top") != F.col("hub")) & _classes_match("top", "hub")).select(F.col("top").alias("u"), F.col("hub").alias("v"))
+    pairs = found.where("sig is null").select("u", "v").union(tops).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    labels = components(_verified(pairs, kinds, docs, words, keep), keep)
     for seed in range(STAR_ROUNDS + 1):
-        split = written(_split(stars, labels), "split")
+        split = _split(stars, labels, keep)
         if split.isEmpty():
             break
-        more = _more_stars(split, seed) if seed < STAR_ROUNDS else _rest(split, kinds)
-        labels = _joined(labels, _verified(more, kinds, docs, words))
-    d = of_doc.select("doc_id", "n", "set_id")
-    d = d.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("doc_id", "n", F.coalesce("label", "set_id").alias("label")) if labels is not None else d.select("doc_id", "n", F.col("set_id").alias("label"))
-    d = written(d, "labelled")
-    least_doc = d.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    out = d.join(least_doc, "label", "left")
+        more = _more_stars(split, seed) if seed < STAR_ROUNDS else _rest(split, seen, keep)
+        labels = _joined(labels, _verified(more, kinds, docs, words, keep), keep)
+    # only sets of several documents or with links have another component than their own document
+    if labels is not None:
+        several = kinds.join(_few(labels.withColumnRenamed("node", "set_id"), BROADCAST_IDS), "set_id", "left").where("label is not null or copies > 1").select("set_id", "first", F.coalesce("label", "set_id").alias("label"))
+        least_doc = keep.written(several.groupBy("label").agg(F.min("first").alias("component_id")), "least")
+        named = several.join(_few(least_doc, BROADCAST_IDS), "label").select("set_id", "component_id")
+    else:
+        named = kinds.where("copies > 1").select("set_id", F.col("first").alias("component_id"))
+    named = written(named, "jaccard-components")
+    out = written(of_doc.select("doc_id", "n", "set_id"), "jaccard-documents")
+    keep.drop()
+    out = out.join(_few(named, BROADCAST_IDS), "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .bytehash import mix, utf8
-from .common import input_bytes, parts_for, table
+from .common import parts_for, table, text_bytes
 
 WINDOW, GRAM = 50, 24
 #: Bytes that a window can have on either side of its anchor, and bytes of a context.
@@ -283,7 +283,7 @@ MESSAGE = "part int, kind string, doc_id string, digest string, x binary, y bina
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the runs (flat pairs of byte positions) of each row of docs."""
     spark = docs.sparkSession
-    n_parts = parts_for(input_bytes(docs), PART_BYTES, spark)
+    n_parts = parts_for(text_bytes(docs), PART_BYTES, spark)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # ids go as strings: pandas would make floats of a column with nulls
     t = source.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_parts)).cast("int").alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
