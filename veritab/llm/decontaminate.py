@@ -4,11 +4,13 @@ windows, verification of the hits, and removal of spans or documents.
 Words are runs of ASCII letters and digits and of characters that are not ASCII; A-Z count as a-z. A window is `n` consecutive
 words of an item; an item of fewer words is one window. Every word of a document inside an occurrence of a window is hit.
 
-Broadcasts are bounded: the benchmark is cut into slices of at most `slice_bytes` of text by its items' hash, each slice has a
-broadcast and a scan of its own, and where there is more than one slice the hits of a document are merged by a shuffle.
+Broadcasts are bounded. A benchmark of more than `slice_bytes` of text is reduced first: a bitmap of its windows' hashes, of at most
+2 ** MAP_BITS bits, goes to one scan of the documents, which returns the distinct hashes that it may hold; only windows of those hashes make up the hash
+set then. If even that is larger, it is cut into slices; each row passes them one after another in the same scan, on its whole text, and its
+hits are merged in the row. So every row is judged by itself, whatever the benchmark's size.
 
-Defined results: null and empty texts have no words; a null doc_id stays null; repeated rows are judged each by itself (with more than one slice, rows
-of equal doc_id and text give equal results); a null item_id counts as "null"; other columns of docs are kept by `clean` and ignored by `hits`.
+Defined results: null and empty texts have no words; a null doc_id stays null; repeated rows are judged each by itself;
+a null item_id counts as "null"; other columns of docs are kept by `clean` and ignored by `hits`.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .bytehash import ALNUM, Words, chunks, utf8
-from .common import small_batches, table
+from .common import Scratch, small_batches, table, text_bytes
 
 N = 10
 SLICE_BYTES = 4 << 20
-SCHEMA = "doc_id bigint, n_words bigint, hit_spans array<int>, items array<string>"
+#: Bits of the bitmap for each window, and of the whole bitmap as a power of 2 at most (64 MB).
+BITS_EACH, MAP_BITS = 32, 29
 
 
 class Windows:
@@ -83,55 +86,111 @@ def _one(h: np.ndarray) -> int:
     return int(mix(out)[0])
 
 
-def _slices(benchmark: DataFrame, slice_bytes: int) -> Iterator[list[tuple]]:
+def _windows(benchmark: DataFrame, n: int) -> DataFrame:
+    """item_id, text, k, h: the windows of the benchmark's items, as texts, with their numbers of words and hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w, rows = Words(utf8(b["text"]), ALNUM), []
+            for i, item in enumerate(b["item_id"]):
+                x, y = int(w.first[i]), int(w.first[i + 1])
+                k = min(n, y - x)
+                for at in range(x, y - k + 1) if k else ():
+                    rows.append(("null" if item is None else item, b" ".join(w.buf[w.start[j] : w.end[j]].tobytes() for j in range(at, at + k)).decode("utf-8", "surrogatepass"), k, _one(w.hash[at : at + k]) - (1 << 63)))
+            yield pd.DataFrame(rows, columns=["item_id", "text", "k", "h"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInPandas(run, "item_id string, text string, k int, h bigint")
+
+
+def _reduced(docs: DataFrame, benchmark: DataFrame, n: int, keep: Scratch) -> DataFrame:
+    """item_id, text: the windows of the benchmark whose hashes are among those of docs."""
+    spark = docs.sparkSession
+    windows = keep.written(_windows(benchmark, n), "windows")
+    count = windows.count()
+    bits = min(MAP_BITS, max(16, int(count * BITS_EACH).bit_length()))
+    # at most 2 ** (MAP_BITS - 6) words of 64 bits; h is the hash less 2 ** 63
+    slot = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+    words = windows.select(slot.alias("s")).selectExpr("cast(s >> 6 as int) AS at", "shiftleft(1L, cast(s & 63 as int)) AS bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())
+    shared = spark.sparkContext.broadcast((bits, bitmap.view(np.uint64), lengths))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, known, lengths = shared.value
+        for b in batches:
+            texts = utf8(b["text"])
+            for lo, hi in chunks(texts):
+                w = Words(texts[lo:hi], ALNUM)
+                for k in lengths:
+                    h = w.windows(k)
+                    s = h >> np.uint64(64 - bits)
+                    h = np.unique(h[known[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1) > 0])
+                    yield pd.DataFrame({"k": np.full(len(h), k, np.int32), "h": (h ^ np.uint64(1 << 63)).view(np.int64)})
+
+    found = docs.select("text").mapInPandas(run, "k int, h bigint").distinct()
+    return keep.written(windows.join(found, ["k", "h"], "left_semi").select("item_id", "text").distinct(), "occurring")
+
+
+def _slices(items: DataFrame, slice_bytes: int) -> Iterator[list[tuple]]:
     """The items in slices whose texts have at most about slice_bytes; one slice is at the driver at a time."""
-    items = benchmark.select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // slice_bytes) or 1
+    n = -(-text_bytes(items) // slice_bytes) or 1
     for i in range(n):
         yield [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).collect()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_words, hit_spans (flat pairs of word positions, end exclusive), items."""
+def _merged(spans: list[int], more: list[int]) -> list[int]:
+    """Two lists of runs as one, without overlaps."""
+    if not spans or not more:
+        return spans or more
+    out: list[int] = []
+    for a, b in sorted([*zip(spans[::2], spans[1::2]), *zip(more[::2], more[1::2])]):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, slice_bytes: int) -> tuple[DataFrame, tuple[str, str, str]]:
+    """docs with three more columns, whose names are returned: n_words, hit_spans and items of the text."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    scans = []
-    for items in _slices(benchmark, slice_bytes):
-        shared = spark.sparkContext.broadcast(items)
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    names = tuple(next(c for c in (f"{x}{'_' * i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns) for x in ("n_words", "hit_spans", "items"))
+    keep = Scratch(spark, "decontamination")
+    items = benchmark.select("item_id", "text")
+    if text_bytes(items) > slice_bytes:
+        items = _reduced(docs, items, n, keep)
+    out = docs.withColumns({names[0]: F.lit(0).cast("bigint"), names[1]: F.array().cast("array<int>"), names[2]: F.array().cast("array<string>")})
+    place = docs.columns.index("text")
+    for part in _slices(items, slice_bytes):
+        shared = spark.sparkContext.broadcast(part)
+
+        def scan(batches, shared=shared):
             windows = Windows(shared.value, n)
             for b in batches:
-                found = windows.scan(utf8(b["text"]))
-                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_words": [x[0] for x in found], "hit_spans": [x[1] for x in found], "items": [sorted(x[2]) for x in found], "digest": [hashlib.sha256(x).hexdigest() for x in utf8(b["text"])]})
-
-        scans.append(scan)
-    if len(scans) == 1:
-        return source.mapInPandas(scans[0], f"{SCHEMA}, digest string").drop("digest")
-    source = source.withColumn("text", F.col("text"))
-    keyed = [source.mapInPandas(s, f"{SCHEMA}, digest string") for s in scans]
-    union = keyed[0]
-    for k in keyed[1:]:
-        union = union.unionByName(k)
-    copies = len(scans)
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        spans = sorted((int(a), int(b)) for s in rows["hit_spans"] for a, b in zip(s[::2], s[1::2]))
-        out: list[int] = []
-        for a, b in spans:
-            if out and a <= out[-1]:
-                out[-1] = max(out[-1], b)
-            else:
-                out += [a, b]
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64"), "n_words": rows["n_words"].iloc[:1], "hit_spans": [out], "items": [sorted({x for i in rows["items"] for x in i})]}).loc[lambda d: d.index.repeat(max(1, len(rows) // copies))]
-
-    return union.groupBy("doc_id", "digest").applyInPandas(merge, SCHEMA)
-
-
-def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    h = hits(docs, benchmark, n)
+                found = windows.scan(utf8(b.column(place).to_pylist()))
+                last = b.num_columns - 3
+                spans = [_merged(x, y[1]) for x, y in zip(b.column(last + 1).to_pylist(), found)]
+                items = [sorted({*x, *y[2]}) for x, y in zip(b.column(last + 2).to_pylist(), found)]
+                columns = [[y[0] for y in found], spans, items]
+                yield pa.RecordBatch.from_arrays([*b.columns[:last], *(pa.array(c, b.schema.field(last + i).type) for i, c in enumerate(columns))], schema=b.schema)
+
+        out = out.mapInArrow(scan, out.schema)
+    keep.drop()
+    return out, names
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_words, hit_spans (flat pairs of word positions, end exclusive), items."""
+    out, _ = _scanned(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, n, slice_bytes)
+    return out.drop("text")
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    h = hits(docs, benchmark, n, slice_bytes)
     n_hit = F.expr("cast(aggregate(hit_spans, 0, (s, x) -> x - s) as bigint)")
     return h.select(
         "doc_id", "n_words",
@@ -145,40 +204,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, remove: str = "docu
     """docs without contaminated documents, or (remove="spans") with the hit words cut from text. Columns stay as they are."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is {remove!r}; documents or spans")
-    spark = docs.sparkSession
-    small_batches(spark)
-    out = docs
-    for items in _slices(benchmark, slice_bytes):
-        shared = spark.sparkContext.broadcast(items)
-
-        def keep(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            windows = Windows(shared.value, n)
-            for b in batches:
-                found = windows.scan(utf8(b["text"]))
-                if remove == "documents":
-                    yield b[[not x[1] for x in found]]
-                else:
-                    b = b.copy()
-                    b["text"] = [_cut(t, x[1]) for t, x in zip(b["text"], found)]
-                    yield b
-
-        out = _map(out, keep)
-    return out
+    out, (words, spans, items) = _scanned(docs, benchmark, n, slice_bytes)
+    if remove == "documents":
+        return out.where(F.size(spans) == 0).drop(words, spans, items)
+    place = docs.columns.index("text")
 
+    def cut(batches):
+        import pyarrow as pa
 
-def _map(df: DataFrame, f) -> DataFrame:
-    """mapInArrow of a function on pandas frames that keep their schema, whatever the types of the other columns."""
-    import pyarrow as pa
-
-    def run(batches):
         for b in batches:
-            i = b.schema.get_field_index("text")
-            rows = pd.DataFrame({"text": b.column(i).to_pylist(), "_i": range(b.num_rows)})
-            for out in f(iter([rows])):
-                kept = b.take(pa.array(out["_i"].to_numpy(np.int64)))
-                yield kept.set_column(i, b.schema.field(i), pa.array(out["text"].tolist(), b.schema.field(i).type))
+            texts = [_cut(t, x) for t, x in zip(b.column(place).to_pylist(), b.column(b.num_columns - 2).to_pylist())]
+            yield b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type))
 
-    return df.mapInArrow(run, df.schema)
+    return out.mapInArrow(cut, out.schema).drop(words, spans, items)
 
 
 def _cut(text: str | None, runs: list[int]) -> str | None:
