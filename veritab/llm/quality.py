@@ -1,11 +1,15 @@
 """Quality rules: base rules, then robust multivariate outliers by the minimum covariance determinant.
 
 Everything here is DataFrame and SQL functions. Each document gets a vector of transformed statistics; for each language and
-source, concentration steps look for the half of the rows whose covariance has the least determinant. The estimate is made anew from
-the rows near that half, and rows far from its centre by Mahalanobis distance are rejected.
+source, concentration steps look for the half of the rows whose covariance has the least determinant, until no determinant changes
+any more. The estimate is made anew from the rows near that half, and rows far from its centre by Mahalanobis distance are rejected.
 
-Defined results: a null text has no words (base_failed); null lang or source is a group of its own; groups of fewer than
-`min_group` rows use the estimate of their language, and small languages that of all rows; rows are judged one by one, so
+Small groups: moments of n rows are averaged with those of their language with weights n and PRIOR, and those of a
+language likewise with those of all rows. The weight is continuous in n, so no size changes the rule. FLOORS are standard deviations that are added
+to every covariance; they keep statistics that hardly vary (few documents have symbols or repeated lines) from rejecting the first
+document that differs. With them, a document differs by 5.6 floors at least before it is rejected for one statistic alone.
+
+Defined results: a null text has no words (base_failed); null lang or source is a group of its own; rows are judged one by one, so
 repeated ids and ties stay as they are; an empty table gives an empty result; other columns pass through `keep` untouched.
 """
 
@@ -15,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import Scratch, written
 
 WS = r"[ \\x09-\\x0D]"
 DIMS = 5
@@ -28,8 +32,12 @@ CORE = 0.5
 NEAR, NEAR_CUT = 0.975, 12.8325
 #: Squared distances beyond this are outliers: the chi-square quantile for 5 dimensions at 1 - 1e-5.
 CUT = 30.86
-MIN_GROUP = 200
-STEPS = 3
+#: Rows that a group's language, or a language's whole table, counts as in the group's moments.
+PRIOR = 50
+#: Concentration steps at most, and the change of a log determinant below which a group counts as settled.
+STEPS, SETTLED = 8, 1e-2
+#: Estimates that are broadcast at most: of about 300 bytes each.
+BROADCAST_GROUPS = 100_000
 _BINS = 16
 
 
@@ -81,17 +89,28 @@ def _of(docs: DataFrame, column: str, otherwise: str | None = None) -> Column:
 
 def _groups(s: DataFrame) -> DataFrame:
     """The rows of s, each once for its own group, its language and all rows: the levels at which estimates are made."""
-    return s.select("*", F.explode(F.array(F.concat_ws("\x01", F.lit("s"), "lang", "source"), F.concat_ws("\x01", F.lit("l"), "lang"), F.lit("a"))).alias("g"))
+    return s.select("*", F.explode(F.array(_name("s"), _name("l"), F.lit("a"))).alias("g"))
+
+
+def _name(level: str) -> Column:
+    return F.concat_ws("\x01", F.lit("s"), "lang", "source") if level == "s" else F.concat_ws("\x01", F.lit("l"), "lang")
 
 
 def _tri() -> list[tuple[int, int]]:
     return [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
 
 
-def _estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Means m1.., lower Cholesky factor l11.. and log determinant of the covariance of each group."""
+_SUMS = ["n", *[f"s{i}" for i in range(1, DIMS + 1)], *[f"s{i}{j}" for i, j in _tri()]]
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """n, sums s1.. and sums of products s11.. of each group."""
     sums = [F.count(F.lit(1)).cast("double").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(1, DIMS + 1)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _tri()]
-    p = rows.groupBy(*keys).agg(*sums)
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _estimates(p: DataFrame, keys: list[str]) -> DataFrame:
+    """Means m1.., lower Cholesky factor l11.. and log determinant of the covariance of each row of moments."""
     p = _let(p, **{f"m{i}": f"s{i} / n" for i in range(1, DIMS + 1)})
     p = _let(p, **{f"c{i}{j}": f"greatest(s{i}{j} / n - m{i} * m{j}, {0.0 if i == j else -1e9}D)" + (f" + {FLOORS[i - 1] ** 2!r}D" if i == j else "") for i, j in _tri()})
     for j in range(1, DIMS + 1):
@@ -109,49 +128,60 @@ def _distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", F.expr(" + ".join(f"y{i} * y{i}" for i in range(1, DIMS + 1)))).drop(*[f"y{i}" for i in range(1, DIMS + 1)])
 
 
-def measured(docs: DataFrame, keys: list[str]) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """df (written), to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
+def measured(docs: DataFrame, keys: list[str], keep: Scratch | None = None) -> DataFrame:
     """The statistics of docs with the columns `keys`, written: numbers only, so texts are read and cut into words once."""
     used = docs.select(*dict.fromkeys([*keys, "text", "lang", "source"]))
     s = statistics(used).select(*[_of(used, k).alias(k) for k in keys], _of(used, "lang", "\x02").alias("_lang"), _of(used, "source", "\x02").alias("_source"), *COUNTS, *[f"x{i}" for i in range(1, DIMS + 1)])
-    return written(s, "mcd-rows")
+    return keep.written(s, "rows") if keep else written(s, "mcd-rows")
 
 
-def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, min_group: int = MIN_GROUP) -> DataFrame:
-    """The estimate for each language and source of rows (as of `measured`): columns _lang, _source, m1.., l11...
+def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, prior: float = PRIOR) -> DataFrame:
+    """The estimate for each language and source of rows (as of `measured`): columns _lang, _source, m1.., l11.., and steps, how many were taken.
 
-    Two starts, all rows and the rows without symbols and repetition, take concentration steps; the one with the lesser
-    determinant wins, and rows near it give the last estimate (with no steps there is none). Order statistics come from histograms of the distance on a fixed logarithmic grid, so a
-    group of any size meets as a bounded number of counts.
+    Two starts, all rows and the rows without symbols and repetition, take concentration steps until every log determinant is settled or `steps` are
+    taken; the one with the lesser determinant wins, and rows near it give the last estimate (with no steps there is none). Order statistics come from
+    histograms of the distance on a fixed logarithmic grid, so a group of any size meets as a bounded number of counts.
     """
+    keep = Scratch(rows.sparkSession, "mcd")
     s = rows.where("not base_failed").select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[f"x{i}" for i in range(1, DIMS + 1)])
-    counts = s.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    level = written(
-        counts.join(by_lang, "lang").select(
-            "lang", "source",
-            F.when(F.col("n") >= min_group, F.concat_ws("\x01", F.lit("s"), "lang", "source")).when(F.col("n_lang") >= min_group, F.concat_ws("\x01", F.lit("l"), "lang")).otherwise(F.lit("a")).alias("g"),
-        ), "mcd-groups",
-    )
-    used = level.select("g").distinct()
-    grouped = written(_groups(s).join(used, "g", "left_semi").select("g", *[f"x{i}" for i in range(1, DIMS + 1)]), "mcd-grouped")
+    level = keep.written(s.select("lang", "source").distinct().select("lang", "source", _name("s").alias("gs"), _name("l").alias("gl")), "levels")
+    grouped = keep.written(_groups(s).select("g", *[f"x{i}" for i in range(1, DIMS + 1)]), "grouped")
     starts = grouped.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("start")).where("start = 0 or (x3 < 0.1 and x4 < 0.1 and x5 < 0.2)")
-    p = written(_estimates(starts, ["g", "start"]), "mcd-start")
-    for _ in range(steps):
-        d = _distance(grouped.join(p, "g")).withColumn("bin", F.expr(f"cast(floor(log2(d2 + 1e-6D) * {_BINS}) as int)"))
+    p = keep.written(_estimates(_moments(starts, ["g", "start"]), ["g", "start"]), "start")
+    taken = 0
+    while taken < steps:
+        d = _distance(grouped.join(_few(p), "g")).withColumn("bin", F.expr(f"cast(floor(log2(d2 + 1e-6D) * {_BINS}) as int)"))
         upto = Window.partitionBy("g", "start").orderBy("bin")
         of_all = Window.partitionBy("g", "start")
-        cut = (
-            d.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("k"))
-            .select("g", "start", "bin", (F.sum("k").over(upto) - F.col("k")).alias("below"), F.sum("k").over(of_all).alias("n_all"))
-            .where(F.col("below") < (F.col("n_all") + DIMS + 1) * core).groupBy("g", "start").agg(F.max("bin").alias("last"))
-        )
-        p = written(_estimates(d.drop("n", "logdet").join(cut, ["g", "start"]).where("bin <= last"), ["g", "start"]), "mcd-step")
+        # rows of a bin are summed with it: the cut is then a choice among sums, and rows are read once a step
+        bins = _moments(d, ["g", "start", "bin"]).select("*", (F.sum("n").over(upto) - F.col("n")).alias("below"), F.sum("n").over(of_all).alias("n_all"))
+        within = bins.where((F.col("below") < (F.col("n_all") + DIMS + 1) * core) & (F.col("below") < F.col("n_all")))
+        sums = within.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        after = keep.written(_estimates(sums, ["g", "start"]), "step")
+        taken += 1
+        moved = after.select("g", "start", "logdet").join(p.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        p = after
+        if moved is None or moved < SETTLED:
+            break
     best = p.groupBy("g").agg(F.min(F.struct("logdet", "start", *[f"m{i}" for i in range(1, DIMS + 1)], *[f"l{i}{j}" for i, j in _tri()])).alias("b")).select("g", "b.*")
+    near = grouped
     if steps:
-        best = written(best, "mcd-best")
-        near = _distance(grouped.join(best, "g")).where(F.col("d2") / consistency(core) <= NEAR_CUT)
-        best = _estimates(near, ["g"]).drop("n")
-    return written(level.join(best, "g").drop("g", "start").withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source"), "mcd-fit")
+        near = _distance(grouped.join(_few(keep.written(best, "best")), "g")).where(F.col("d2") / consistency(core) <= NEAR_CUT)
+    m = keep.written(_moments(near, ["g"]), "moments")
+    of = lambda name: m.select(F.col("g").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _SUMS])
+    j = level.join(_few(of("gs")), "gs").join(_few(of("gl")), "gl").crossJoin(F.broadcast(of("ga").where("ga = 'a'")))
+    # each level's moments, and those of the next one as `prior` rows more
+    j = _let(j, **{f"up_{c}": f"gl_{c} + {float(prior)!r}D * ga_{c} / ga_n" for c in _SUMS})
+    j = _let(j, **{c: f"gs_{c} + {float(prior)!r}D * up_{c} / up_n" for c in _SUMS})
+    out = _estimates(j.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *_SUMS), ["_lang", "_source"])
+    out = written(out.drop("n", "logdet").withColumn("steps", F.lit(taken)), "mcd-fit")
+    keep.drop()
+    return out
 
 
 def consistency(core: float = CORE) -> float:
@@ -169,7 +199,7 @@ def consistency(core: float = CORE) -> float:
 
 def _verdict(rows: DataFrame, estimates: DataFrame, cut: float) -> DataFrame:
     """Adds d2 and kept to rows with _lang, _source and the statistics."""
-    j = _distance(rows.join(estimates, ["_lang", "_source"], "left"))
+    j = _distance(rows.join(_few(estimates.drop("steps")), ["_lang", "_source"], "left"))
     far = F.coalesce(F.col("d2") / consistency(NEAR) > cut, F.lit(False))
     return j.withColumn("kept", ~F.col("base_failed") & ~far)
 
@@ -181,10 +211,10 @@ def report(docs: DataFrame, cut: float = CUT) -> DataFrame:
 
 
 def keep(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs that are kept, with their columns. The texts are cut into words again rather than shuffled to a verdict."""
-    estimates = fit(measured(docs, []))
-    s = statistics(docs).where("not base_failed").withColumn("_lang", _of(docs, "lang", "\x02")).withColumn("_source", _of(docs, "source", "\x02"))
-    return _verdict(s, estimates, cut).where("kept").select(*[_of(docs, c).alias(c) for c in docs.columns])
+    """The rows of docs that are kept, with their columns. Rows are written with their statistics, so texts are cut into words once and never shuffled."""
+    s = statistics(docs).withColumn("_lang", _of(docs, "lang", "\x02")).withColumn("_source", _of(docs, "source", "\x02"))
+    s = written(s, "quality-rows")
+    return _verdict(s.where("not base_failed"), fit(s), cut).where("kept").select(*[_of(docs, c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
