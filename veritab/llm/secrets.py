@@ -1,13 +1,17 @@
 """Secret scans: base patterns, then dictionary-primed zstandard novelty.
 
 A candidate is a long run of key characters that stands shortly after a sensitive word. Its marginal size is what it adds to
-the compressed size of its surroundings, when zstandard is primed with a dictionary of code and identifiers. A run that
+the compressed size of its surroundings, when zstandard is primed with a dictionary of code and identifiers: a fixed list, and the
+most frequent identifiers of the documents that have a sensitive word (`learn`). A run that
 adds nearly as many bytes as random strings of its length and alphabet add in its place is incompressible: nothing near it and no
-known identifier explains it. Its copies after sensitive words are taken out of the surroundings first, so a repeated key is no
-less novel; a copy elsewhere makes it public.
+known identifier explains it. A run without digits must come nearer to them, because it may be a rare word. Its copies after
+sensitive words are taken out of the surroundings first, so a repeated key is no less novel; a copy elsewhere makes it public.
+
+A text is read once: words and runs are listed in order, and each run looks at the last word before it.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; of novel spans those inside a base
-span are left out; each row is judged by itself, so ties and repeated rows need no rule; other columns are kept by `redact`.
+span are left out; each row is judged by itself, so ties and repeated rows need no rule; other columns are kept by `redact`; a table without
+sensitive words teaches no identifiers.
 """
 
 from __future__ import annotations
@@ -31,17 +35,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 #: Lower-case byte strings, one of which is in every text that ASSIGN matches.
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-#: Words that make the rest of their line sensitive.
-SENSITIVE = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"credential", b"private_key", b"privatekey", b"access_key", b"auth", b"bearer")
+#: Words that make what follows them sensitive.
+SENSITIVE = (b"passw", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"credential", b"private_key", b"privatekey", b"private key", b"access_key", b"auth", b"bearer")
 SENSITIVE_RE = re.compile("|".join(re.escape(w.decode()) for w in SENSITIVE), re.I | re.A)
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Parts of a candidate that count as copies of it where they recur.
 PIECE = re.compile(r"[A-Za-z0-9]{16,}")
-#: Characters after a sensitive word in which a candidate must begin, and characters of surroundings on either side.
+#: Characters after a sensitive word in which a candidate must begin, on its line or a later one, and characters of surroundings on either side.
 REACH, AROUND = 48, 200
 #: A candidate is reported from that many marginal bytes for each of a random string in its place or each of
 #: its own, or from as many as the least of the random strings.
 NOVELTY = 0.85
+#: The same for a run without digits, which has only this way.
+WORD_NOVELTY = 0.9
+#: Identifiers that are learnt: so many at most, of documents with a sensitive word, that occur in so many of them.
+LEARNT, LEARNT_DOCS = 4000, 5
+IDENTIFIER = "[A-Za-z_]{6,15}"
 #: Random strings that a candidate is compared with.
 DRAWS = 5
 #: Kinds of characters: a random string has all those of a kind that the candidate has, and its other characters as they are.
@@ -69,9 +79,18 @@ def alphabet(s: str) -> str:
     return "".join(sorted({c for x in s for c in next((k for k in ALPHABETS[2:] if x in k), x)}))
 
 
+def learn(docs: DataFrame) -> str:
+    """The LEARNT most frequent identifiers of the documents that have a sensitive word, the most frequent last, where zstandard finds them soonest."""
+    some = docs.where(F.lower("text").rlike("|".join(re.escape(w.decode()) for w in SENSITIVE)))
+    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("w"))
+    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= LEARNT_DOCS).orderBy(F.desc("k"), "w").limit(LEARNT)
+    return " ".join(r["w"] for r in reversed(top.collect()))
+
+
 class Scanner:
-    def __init__(self, identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> None:
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: str = "", novelty: float = NOVELTY) -> None:
+        primed = zstandard.ZstdCompressionDict(f"{identifiers} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=9)
         self.size = lambda s: len(self.zstd.compress(s.encode("utf-8", "surrogatepass")))
         self.zstd = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_dict_id=False)
         self.novelty = novelty
@@ -84,15 +103,19 @@ class Scanner:
         for x, y in runs[bisect_right(runs, lo, key=lambda r: r[1]) : bisect_left(runs, hi, key=lambda r: r[0])]:
             if y <= a or x >= b:
                 for copy in copies:
-                    at = text.find(copy, x, y)
+                    last = min(y, hi + len(copy))
+                    at = text.find(copy, max(x, lo - len(copy)), last)
                     while at >= 0:
                         p, q = max(at, lo) - lo, min(at + len(copy), hi) - lo
                         keep[p:q] = bytes(max(q - p, 0))
-                        at = text.find(copy, at + len(copy), y)
+                        at = text.find(copy, at + len(copy), last)
         before, after = ("".join(compress(text[x:y], keep[x - lo : y - lo])) for x, y in ((lo, a), (b, hi)))
         least, draw, letters = self.size(before + after), random.Random(s), alphabet(s)
         others = [self.size(before + "".join(draw.choices(letters, k=len(s))) + after) - least for _ in range(DRAWS)]
-        return self.size(before + s + after) - least, min(self.novelty * min(sum(others) / DRAWS, len(s)), min(others))
+        usual = min(sum(others) / DRAWS, len(s))
+        if not any(c.isdigit() for c in s):
+            return self.size(before + s + after) - least, max(WORD_NOVELTY, self.novelty) * usual
+        return self.size(before + s + after) - least, min(self.novelty * usual, min(others))
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind), by start and then kind as in KINDS."""
@@ -110,22 +133,21 @@ class Scanner:
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
     def novel(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        found: dict[int, int] = {}
-        for word in SENSITIVE_RE.finditer(text):
-            line = text.find("\n", word.end())
-            stop = min(word.end() + REACH, len(text) if line < 0 else line)
-            for m in CANDIDATE.finditer(text, word.end()):
-                if m.start() >= stop:
-                    break
-                found[m.start()] = m.end()
-        out, done = [], -1
-        runs = sorted(found.items())
-        for a, b in runs:
-            s = text[a:b]
-            # a run of one kind of letters is a word, however odd
-            if b <= done or s.isalpha() or any(x <= a and b <= y for x, y, _ in base) or not any(c.isdigit() for c in s):
+        ends = [m.end() for m in SENSITIVE_RE.finditer(text)]
+        found: list[tuple[int, int]] = []
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            before, within = bisect_right(ends, a), bisect_right(ends, b - LEAST)
+            if before and a - ends[before - 1] < REACH:
+                found.append((a, b))
+            if within > before:  # the run has a word in it, and what follows the last one is a run too
+                found.append((ends[within - 1], b))
+        out, done, known = [], -1, [(x, y) for x, y, _ in sorted(base)]
+        for a, b in found:
+            inside = bisect_right(known, (a, len(text)))
+            if b <= done or any(b <= y for _, y in known[max(0, inside - len(KINDS)) : inside]):
                 continue
-            own, least = self.marginal(text, a, b, runs)
+            own, least = self.marginal(text, a, b, found)
             if own >= least:
                 out.append((a, b, "novel"))
                 done = b
@@ -139,9 +161,10 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, starts, ends, kinds."""
     small_batches(docs.sparkSession)
+    identifiers = learn(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Scanner()
+        s = Scanner(identifiers)
         for b in batches:
             found = [s.spans(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "starts": [[x[0] for x in f] for f in found], "ends": [[x[1] for x in f] for f in found], "kinds": [[x[2] for x in f] for f in found]})
@@ -154,9 +177,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
+    identifiers = learn(docs)
 
     def run(batches):
-        s = Scanner()
+        s = Scanner(identifiers)
         for b in batches:
             i = b.schema.get_field_index("text")
             texts = []
@@ -176,14 +200,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    identifiers = learn(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Scanner()
+        s = Scanner(identifiers)
         for b in batches:
             found = [s.spans(t) for t in b["text"]]
             n = {k: [sum(x[2] == k for x in f) for f in found] for k in KINDS}
             base = [joined([x for x in f if x[2] != "novel"]) for f in found]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"], "base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in base], "spans": [joined(f) for f in found], "n_novel": n["novel"]})
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInPandas(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")
