@@ -7,7 +7,7 @@ are concatenated; fragments recur far more often than words, so most of them com
 The tokenizer's file gives the vocabulary, merges, end-of-word suffix and added tokens; normaliser and word pattern are those of
 files of this kind: NFC, white space, lower case, a regular expression, bytes as printable characters.
 
-Defined results: a null text is an empty one and has no tokens; an added token's own string in a text becomes its id, as in
+Defined results: a null text is an empty one and has no tokens; null ids decode to an empty text, null and unknown ids within them are skipped; an added token's own string in a text becomes its id, as in
 the library; rows are encoded one by one; other columns are kept by `encode`.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, table
 
-#: Entries of the cache of words, and twice as many as of fragments; a full cache is emptied. About 70 MB.
-CACHE = 150_000
+#: Entries of the cache of words, and half as many of the cache of fragments; a full cache is emptied. About 80 MB.
+CACHE = 300_000
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -70,7 +70,7 @@ class Codec:
             inside.update(zip(t, t[1:]))
         #: Pairs of characters that occur inside a token; all others are cuts.
         self.inside = inside
-        self.words: dict[str, tuple[bytes, int, str]] = {}
+        self.words: dict[str, bytes] = {}
         self.parts: dict[str, list[int]] = {}
 
     def fragments(self, word: str) -> list[str]:
@@ -115,8 +115,8 @@ class Codec:
                     heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
         return [self.vocab[s] for s, k in zip(symbols, alive) if k and s in self.vocab]
 
-    def encode_word(self, word: str) -> tuple[bytes, int, str]:
-        """(ids as little-endian 32 bits, how many, the decoded tokens) of a normalised word."""
+    def encode_word(self, word: str) -> bytes:
+        """Ids, as little-endian 32 bits, of a normalised word."""
         chars = self.chars
         ids: list[int] = []
         cut = self.fragments(word if word.isascii() and word.isprintable() else "".join([chars[b] for b in word.encode("utf-8", "surrogatepass")]))
@@ -133,40 +133,43 @@ class Codec:
                 if len(part) <= 64:
                     self.parts[key] = got
             ids += got
-        return struct.pack(f"<{len(ids)}I", *ids), len(ids), " ".join([self.tokens[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str | None) -> tuple[bytes, int, str]:
-        """(ids, how many, decoded text) of a whole text."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text, as little-endian 32 bits."""
         if not text:
-            return b"", 0, ""
-        ids, said, n = [], [], 0
+            return b""
+        ids: list[bytes] = []
         known, words = self.words, self.words.get
         for piece in self.split.split(text) if self.split else [text]:
             if piece in self.added:
                 ids.append(struct.pack("<I", self.added[piece]))
-                said.append(piece)
-                n += 1
                 continue
             # the library lowers character by character, so no sigma is a final one
             low = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
             found = self.word.findall(low)
-            got = [words(w) for w in found]
+            got = [*map(words, found)]
             if None in got:
                 for i, g in enumerate(got):
                     if g is None:
-                        got[i] = g = words(w := found[i]) or self.encode_word(w)
-                        if len(w) <= 64:
-                            if len(known) >= CACHE:
-                                known.clear()
-                            known[w] = g
-            ids += [g[0] for g in got]
-            n += sum([g[1] for g in got])
-            said += [g[2] for g in got if g[1]]
-        return b"".join(ids), n, " ".join(said)
+                        w = found[i]
+                        got[i] = g = words(w)
+                        if g is None:
+                            got[i] = g = self.encode_word(w)
+                            if len(w) <= 64:
+                                if len(known) >= CACHE:
+                                    known.clear()
+                                known[w] = g
+            ids += got
+        return b"".join(ids)
 
     def decode(self, ids) -> str:
         """The library's decode of a file without a decoder: the tokens, joined by spaces."""
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        tokens = self.tokens
+        try:
+            return " ".join([*map(tokens.__getitem__, ids)])
+        except KeyError:
+            return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 @lru_cache(2)
@@ -198,7 +201,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: str = "token_ids") ->
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = codec_of(shared.value)
         for t in texts:
-            yield pd.Series([np.frombuffer(codec.encode(x)[0], "<u4").astype("int32") for x in t])
+            yield pd.Series([np.frombuffer(codec.encode(x), "<u4").astype("int32") for x in t])
 
     return docs.withColumn(ids, run("text"))
 
@@ -211,7 +214,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "token_ids", t
     def run(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = codec_of(shared.value)
         for r in rows:
-            yield pd.Series(["" if x is None else codec.decode(int(i) for i in x) for x in r])
+            yield pd.Series(["" if x is None else codec.decode([int(i) for i in x if i is not None and i == i]) for x in r])
 
     return tokens.withColumn(text, run(ids))
 
@@ -227,7 +230,8 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in batches:
             got = [codec.encode(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [g[1] for g in got], "ids_sha256": [sha(g[0]) for g in got], "decoded_sha256": [sha(g[2].encode("utf-8")) for g in got]})
+            said = [sha(codec.decode(np.frombuffer(g, "<u4").tolist()).encode("utf-8")) for g in got]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [len(g) // 4 for g in got], "ids_sha256": [sha(g) for g in got], "decoded_sha256": said})
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
