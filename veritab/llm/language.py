@@ -25,7 +25,7 @@ from .common import small_batches, table
 ORDER = 4
 #: n-grams times languages of a model that several languages share, at most; further languages get models of their own.
 MAX_GRAMS = 2_000_000
-#: Documents that the score's logistic function is fitted on, at most about.
+#: Documents that the score's logistic function is fitted on, at most: those of the lowest hashes.
 CALIBRATION_ROWS = 4000
 #: A score below it means that the language is uncertain: `rejected`.
 REJECT = 0.5
@@ -202,10 +202,8 @@ class Model:
         a, b = self.calibration
         return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        e, n = self.entropies(texts)
-        y = np.array([self.langs[i] == x for i, x in zip(e.argmin(1), langs)], float)[n > 0]
-        m = self.margin(e, n)[n > 0]
+    def calibrate(self, m: np.ndarray, y: np.ndarray) -> None:
+        """Fits the logistic function on margins and whether the language was right."""
         w = np.array([1.0, 0.0])
         x = np.stack([m, np.ones(len(m))], 1)
         for _ in range(30):  # Newton's steps with a weak prior
@@ -254,11 +252,21 @@ def train(docs: DataFrame, order: int = ORDER, calibration_rows: int = CALIBRATI
     finally:
         found.unpersist()
     model = parts[0] if len(parts) == 1 else Shards(parts)
+    # the documents of the lowest hashes: the same ones however the rows are dealt; only two numbers of each come to the driver
     usable = docs.where("text is not null and lang is not null")
-    every = max(1, docs.where("lang is not null").count() // calibration_rows)
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "lang").limit(2 * calibration_rows).collect()
-    if sample:
-        model.calibrate([r["text"] for r in sample], [r["lang"] for r in sample])
+    sample = usable.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(calibration_rows).select("text", "lang")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for b in batches:
+            e, n = m.entropies(list(b["text"]))
+            y = [m.langs[i] == x for i, x in zip(e.argmin(1), b["lang"])]
+            yield pd.DataFrame({"m": m.margin(e, n), "y": np.array(y, float)})[n > 0]
+
+    got = sample.mapInPandas(margins, "m double, y double").toPandas().sort_values(["m", "y"])
+    if len(got):
+        model.calibrate(got["m"].to_numpy(), got["y"].to_numpy())
     return model
 
 

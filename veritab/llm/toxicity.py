@@ -119,23 +119,38 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, rounds:
     sentence = np.concatenate([np.asarray(s, np.int64) + k for s, k in zip(rows["sentence"], shift)])
     names, feature = np.unique(feature, return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), per_doc)
-    n_sentences = len(doc)
-    w, b = np.zeros(len(names)), -4.0
-    m, v, mb, vb = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
-    for t in range(1, rounds + 1):  # Adam on the mean loss, with a weak pull of the weights to 0
-        z = b + np.bincount(sentence, w[feature], n_sentences)
-        s = np.bincount(doc, np.logaddexp(0, z), len(rows))
-        e = np.exp(-s)
-        of_doc = np.where(y, -e / np.maximum(1 - e, 1e-9), 1.0) / len(rows)
-        gz = of_doc[doc] / (1 + np.exp(-z))
-        g, gb = np.bincount(feature, gz[sentence], len(names)) + 1e-6 * w, gz.sum()
+    w, b = descend(feature, sentence, doc, y, len(names), rounds)
+    weights = np.zeros(1 << BITS)
+    weights[names] = w
+    return Model(weights, float(b))
+
+
+def gradient(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """(mean loss, its gradient by the weights, by the bias) of the noisy-or of the documents' sentences.
+
+    feature, sentence: pairs of a feature and its sentence; doc: the document of each sentence; y: whether each document is toxic.
+    """
+    z = b + np.bincount(sentence, w[feature], len(doc))
+    s = np.bincount(doc, np.logaddexp(0, z), len(y))
+    e = np.exp(-s)  # the probability that no sentence is toxic
+    loss = np.where(y, -np.log(np.maximum(1 - e, 1e-300)), s).mean() if len(y) else 0.0
+    of_doc = np.where(y, -e / np.maximum(1 - e, 1e-9), 1.0) / len(y)
+    gz = of_doc[doc] / (1 + np.exp(-z))
+    return float(loss), np.bincount(feature, gz[sentence], len(w)), float(gz.sum())
+
+
+def descend(feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray, y: np.ndarray, n_features: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the mean loss, with a weak pull of the weights to 0."""
+    w, b = np.zeros(n_features), -4.0
+    m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        _, g, gb = gradient(feature, sentence, doc, y, w, b)
+        g = g + 1e-6 * w
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate, c1, c2 = 0.15, 1 - 0.9**t, 1 - 0.99**t
         w = w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         b = b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
-    weights = np.zeros(1 << BITS)
-    weights[names] = w
-    return Model(weights, float(b))
+    return w, b
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

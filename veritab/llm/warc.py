@@ -32,6 +32,8 @@ VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
 PIECE = 1 << 18
 HEADER_LIMIT = 1 << 16
+#: A member that unpacks to more bytes is damaged or hostile: no record of it is held.
+MEMBER_LIMIT = 1 << 30
 
 
 def _line(s: str) -> bytes:
@@ -111,14 +113,19 @@ class Salvage:
         return self.f.read(n)
 
     def zipped(self, at: int) -> Record:
-        z, out, pos = zlib.decompressobj(31), [], at
+        z, out, pos, held = zlib.decompressobj(31), [], at, 0
         try:
             while not z.eof:
                 piece = self.read(pos, PIECE)
                 if not piece:
                     raise Damaged("cut off")
                 pos += len(piece)
-                out.append(z.decompress(piece))
+                while piece and not z.eof:
+                    out.append(z.decompress(piece, PIECE * 16))
+                    held += len(out[-1])
+                    if held > MEMBER_LIMIT:
+                        raise Damaged("too large")
+                    piece = z.unconsumed_tail
         except zlib.error as e:
             raise Damaged(f"gzip: {e}") from None
         end = pos - len(z.unused_data)
@@ -275,7 +282,9 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder, manifest = write(table(spark, sf_dir, "pages"))
-    r = read(manifest, folder, payloads=False).where("type <> 'gap'")
+    r = read(manifest, folder, payloads=False)
+    # archives that were written just now are whole: a gap is an error, not a shorter result
+    r = r.where(F.when(F.col("type") == "gap", F.raise_error(F.concat(F.lit("damaged archive: "), "path", F.lit(", "), "gap")).cast("boolean")).otherwise(F.lit(True)))
     return r.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
