@@ -221,3 +221,22 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The counts and base rules alone, which SQL can express."""
+    return query(spark, sf_dir).drop("kept", "d2")
+
+
+_WORD = r"[^\x20\x09-\x0D]"
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 2], ' ')) AS k FROM p),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE k > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+ FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""

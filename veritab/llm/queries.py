@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_language_id": language.query,
         "op9_toxicity": toxicity.query,
         "op10_bpe": bpe.query,
+        # what SQL can express of operators whose verdicts it cannot
+        "base4_quality_rules": quality.base_query,
+        "base5_secret_scans": secrets.base_query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc": warc.SQL, "op6_ngram_jaccard_join": dedup_join.SQL, "op7_decontamination": decontaminate.SQL}
+    return {"op2_warc": warc.SQL, "op3_suffix_dedup": substring.SQL, "base4_quality_rules": quality.BASE_SQL, "base5_secret_scans": secrets.BASE_SQL, "op6_ngram_jaccard_join": dedup_join.SQL, "op7_decontamination": decontaminate.SQL}

@@ -212,3 +212,29 @@ def query(spark, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_assign": n["assign"], "n_access": n["access"], "n_hex": n["hex"], "base_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in base], "spans": [joined(f) for f in found], "n_novel": n["novel"]})
 
     return docs.mapInPandas(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_novel bigint")
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base spans alone, which SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def _kind_sql(place: int, kind: str, pattern: str, ok: str) -> str:
+    """The spans of a kind: a match begins where the pieces between matches, and the matches before it, end."""
+    each = f"SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d"
+    at = "list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0)"
+    return f"SELECT doc_id, {place} AS k, '{kind}' AS kind, {at} AS a, m[i] AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({each})) WHERE {ok}"
+
+
+_NAMES = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_kind_sql(0, "assign", _ASSIGN, f"length(regexp_extract(m[i], '{_ASSIGN}', 2)) >= 8")}
+ UNION ALL {_kind_sql(1, "access", "AKIA[A-Z0-9]+", "length(m[i]) >= 16")}
+ UNION ALL {_kind_sql(2, "hex", "[0-9a-f]+", "length(m[i]) >= 32")}),
+j AS (SELECT doc_id, string_agg(kind || ':' || CAST(CAST(a AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(a + length(s) AS BIGINT) AS VARCHAR), ',' ORDER BY a, k) AS spans,
+ count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2 FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id
+"""

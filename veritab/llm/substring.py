@@ -449,3 +449,21 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("runs")
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+p AS (SELECT doc_id, h, unnest(range(0, greatest(n - {WINDOW} + 1, 0))) AS i FROM n),
+w AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, {2 * WINDOW})) AS s FROM p),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+m AS (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s WHERE f.first < w.doc_id),
+b AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + {WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+r AS (SELECT doc_id, run, min(i) AS x, max(i) + {WINDOW} AS y FROM g GROUP BY doc_id, run),
+q AS (SELECT *, coalesce(lag(y) OVER (PARTITION BY doc_id ORDER BY x), 0) AS kept_from FROM r),
+k AS (SELECT q.doc_id, string_agg(substr(h, 2 * kept_from + 1, 2 * (x - kept_from)), '' ORDER BY x) AS head, max(y) AS last, sum(y - x) AS removed, count(*) AS spans FROM q JOIN n ON q.doc_id = n.doc_id GROUP BY q.doc_id)
+SELECT n.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN k ON n.doc_id = k.doc_id
+"""
