@@ -17,6 +17,7 @@ NOW = datetime(1997, 1, 1)
 
 # Columns of the tables that are measured, in order.
 COLUMNS = {
+    "region": "r_regionkey r_name",
     "nation": "n_nationkey n_name n_regionkey",
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
     "supplier": "s_suppkey s_name s_nationkey s_acctbal",
@@ -53,12 +54,27 @@ def _source(df: DataFrame) -> DataFrame:
 
 def _metrics(table: str, select: dict[str, str], keys: list[str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = H.metrics(_source(read(spark, sf_dir, table)), keys, F.lit(NOW).cast("timestamp_ntz"), "quantiles" in str(select))
+        m = H.metrics(_source(read(spark, sf_dir, table)), keys, F.lit(NOW).cast("timestamp_ntz"))
         return m.select(_name(table), *[F.expr(e).alias(k) for k, e in select.items()])
 
     return run
 
 
+def _quantiles(table: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = read(spark, sf_dir, table)
+        source = H.with_numbers(_source(df)).persist()
+        ordered = H.in_order(H.numbers(source, summed=bool(H.long_columns(df))))
+        found = H.quantiles(ordered)
+        ordered.unpersist()
+        source.unpersist()
+        none = [None] * len(H.QUANTILES)
+        rows = [(c, *(None if x is None else round(x, 4) for x in found.get(i, none))) for i, c in enumerate(df.columns)]
+        return spark.createDataFrame(rows, "column string, " + ", ".join(f"{k} double" for k in _QUANTILES))
+
+    return run
+
+
 # ── the same in SQL ──────────────────────────────────────────────────────────
 
 
@@ -88,7 +104,7 @@ GROUPS: dict[str, tuple[dict[str, str], dict[str, str]]] = {
     "presence": (_PRESENCE, {"rows": "row_count", "nonnull": "nonnull", "blank": "blank"}),
     "probes": (_PROBES, {k: f"probe_{k}" for k in _PROBES}),
     "numeric": (_NUMERIC, {"least": "num_min", "most": "num_max", "mean": "round(num_mean, 4)", "zero": "num_zero", "negative": "num_negative", "integral": "num_integral"}),
-    "quantiles": (_QUANTILES, {k: f"round(num_quantiles[{i}], 4)" for i, k in enumerate(_QUANTILES)}),
+    "quantiles": (_QUANTILES, {}),
     "lengths": (_LENGTHS, {"shortest": "len_min", "longest": "len_max", "mean_length": "round(len_mean, 4)"}),
     "hygiene": (_HYGIENE, {k: k for k in _HYGIENE}),
     "temporal": (_TEMPORAL, {"first": "ts_min", "last": "ts_max", "future": "ts_future", "distant_past": "ts_distant_past"}),
@@ -174,8 +190,9 @@ def _samples_sql(table: str, k: int = 5) -> str:
 def _stddev(table: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         h = H.histogram(read(spark, sf_dir, table)).select("c", "t", "n")
-        means = H.prepared(h).groupBy("c").agg((F.sum(F.col("num") * F.col("n")) / F.sum(F.when(F.col("num").isNotNull(), F.col("n")))).alias("num_mean")).where("num_mean is not null")
-        return H.deviations(h, means).select(_name(table), F.round("num_stddev", 4).alias("stddev"))
+        numbers = H.numbers(h)
+        means = numbers.groupBy("c").agg((F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("num_mean"))
+        return H.deviations(numbers, means).select(_name(table), F.round("num_stddev", 4).alias("stddev"))
 
     return run
 
@@ -296,22 +313,32 @@ def _check(table: str, change: Callable[[DataFrame], DataFrame] | None = None) -
         from .contract.check import check
         from .contract.generate import generate
 
-        df = read(spark, sf_dir, table)
-        now = datetime(2030, 1, 1)
-        found = check(_profile(spark, sf_dir, table, change(df) if change else df), generate(_profile(spark, sf_dir, table), today=NOW.date()), now)
+        known = _profile(spark, sf_dir, table)
+        seen = _profile(spark, sf_dir, table, change(read(spark, sf_dir, table))) if change else known
+        found = check(seen, generate(known, today=NOW.date()), datetime(2030, 1, 1))
         return found.to_df(spark).select("table", "column", "type", "severity")
 
     return run
 
 
-def _told(*rows: tuple[str, str, str, str]) -> str:
-    values = ", ".join(str(r) for r in rows) or "(NULL, NULL, NULL, NULL)"
-    return f'SELECT * FROM (VALUES {values}) AS f("table", "column", "type", severity)' + ("" if rows else " WHERE false")
+def _check_sql(table: str, changed: dict[str, str] | None = None, gone: tuple[str, ...] = ()) -> str:
+    """The findings that a change of values can make, from the data as they are and as they become: nulls in a column without, values that a
+    column of categories has not, medians a power of ten away; and columns that are gone."""
+    found = [f"SELECT column_name AS c, 'column_missing' AS type FROM information_schema.columns WHERE table_name = '{table}' AND column_name IN ({', '.join(f"'{c}'" for c in gone)})"] if gone else []
+    for c in COLUMNS[table]:
+        if c in gone:
+            continue
+        now = (changed or {}).get(c, c)
+        text, now_text = f"CAST({c} AS VARCHAR)", f"CAST({now} AS VARCHAR)"
+        found.append(f"SELECT '{c}' AS c, 'nullability_violated' AS type FROM {table} HAVING count(*) = count({c}) AND count({now}) < count(*)")
+        found.append(f"SELECT '{c}', 'new_category' FROM {table} HAVING count(DISTINCT {text}) BETWEEN 2 AND 50 AND len(list_filter(list_distinct(list({now_text})), lambda x: NOT list_contains(list_distinct(list({text})), x))) > 0")
+        found.append(f"SELECT '{c}', 'unit_shift_suspected' FROM {table} HAVING abs(abs(log10(quantile_cont(TRY_CAST({now_text} AS DOUBLE), 0.5) / quantile_cont(TRY_CAST({text} AS DOUBLE), 0.5))) - 2) < 0.01")
+    return f"SELECT '{table}' AS \"table\", c AS \"column\", type, 'fail' AS severity FROM (" + "\nUNION ALL ".join(found) + ")"
 
 
 def _drift(left: str, right: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        a, b = (spark.createDataFrame([(c,) for c in COLUMNS[t]], "column string") for t in (left, right))
+        a, b = (spark.createDataFrame([(c,) for c in spark.read.parquet(f"{sf_dir}/{t}.parquet").columns], "column string") for t in (left, right))
         return a.exceptAll(b).withColumn("change", F.lit("column_missing")).unionByName(b.exceptAll(a).withColumn("change", F.lit("column_added")))
 
     return run
@@ -326,7 +353,7 @@ def _drift_sql(left: str, right: str) -> str:
 # ── all of them ──────────────────────────────────────────────────────────────
 
 MEASURED = {
-    "presence": ("orders", "lineitem", "customer", "events", "part", "documents"),
+    "presence": ("orders", "lineitem", "customer", "events", "part", "documents", "region", "supplier"),
     "probes": ("orders", "lineitem", "customer", "events", "part"),
     "numeric": ("orders", "lineitem", "customer"),
     "quantiles": ("orders", "lineitem", "part"),
@@ -344,12 +371,12 @@ KEYS = {
 
 def _all() -> dict[str, tuple[Query, str | None]]:
     out: dict[str, tuple[Query, str | None]] = {"profile_orders": (_profile_rows("orders"), _profile_sql("orders"))}
-    for t in ("lineitem", "customer", "part", "nation"):
+    for t in ("lineitem", "customer", "part", "nation", "supplier"):
         out[f"profile_{t}"] = (_profile_rows(t), _profile_sql(t))
     for group, tables in MEASURED.items():
         sql, own = GROUPS[group]
         for t in tables:
-            out[f"{group}_{t}"] = (_metrics(t, own, []), _sql(t, sql))
+            out[f"{group}_{t}"] = (_metrics(t, own, []) if own else _quantiles(t), _sql(t, sql))
     for t in MATCHED:
         for g in P.GROUPS:
             keys = [p.key for p in P.GROUPS[g]]
@@ -374,11 +401,14 @@ def _all() -> dict[str, tuple[Query, str | None]]:
     out["observations_orders"] = (_observations("orders"), None)
     out["contract_clauses_orders"] = (_clauses("orders"), None)
     for t in ("orders", "customer", "lineitem"):
-        out[f"check_self_{t}"] = (_check(t), _told())
-    out["check_range_orders"] = (_check("orders", lambda d: d.withColumn("o_totalprice", F.col("o_totalprice") * 100)), _told(("orders", "o_totalprice", "unit_shift_suspected", "fail")))
-    out["check_nulls_orders"] = (_check("orders", lambda d: d.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")))), _told(("orders", "o_custkey", "nullability_violated", "fail")))
-    out["check_category_orders"] = (_check("orders", lambda d: d.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 50 == 0, "X").otherwise(F.col("o_orderstatus")))), _told(("orders", "o_orderstatus", "new_category", "fail")))
-    out["check_column_missing_orders"] = (_check("orders", lambda d: d.drop("o_orderpriority")), _told(("orders", "o_orderpriority", "column_missing", "fail")))
+        out[f"check_self_{t}"] = (_check(t), _check_sql(t))
+    changes = {
+        "range": ("o_totalprice", "o_totalprice * 100"), "nulls": ("o_custkey", "CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END"),
+        "category": ("o_orderstatus", "CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END"),
+    }
+    for name, (column, e) in changes.items():
+        out[f"check_{name}_orders"] = (_check("orders", lambda d, column=column, e=e: d.withColumn(column, F.expr(e))), _check_sql("orders", {column: e}))
+    out["check_column_missing_orders"] = (_check("orders", lambda d: d.drop("o_orderpriority")), _check_sql("orders", gone=("o_orderpriority",)))
     out["column_drift"] = (_drift("orders", "lineitem"), _drift_sql("orders", "lineitem"))
     return out
 

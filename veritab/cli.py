@@ -99,7 +99,7 @@ def full_check(contract, profiles, frames, history_folder: str | None = None):
         for p in profiles:
             report.violations += history.check_volume(contract, p, history.read(p.name, history_folder))
             history.append(p.name, history.snapshot(p), history_folder)
-    if report.has(Finding.TABLE_MISSING):
+    if report.count(Finding.TABLE_MISSING):
         return report
     for name, t in contract.tables.items():
         if name in frames and t.rules:
@@ -151,7 +151,7 @@ def check(args) -> int:
         contract.on_violation = Severity.WARN
     report = full_check(contract, profiles, run.frames, None if args.no_history else FOLDER)
     form = "json" if args.json else args.format
-    print({"json": report.to_json, "markdown": lambda: publish.markdown(report, args.show_values), "text": lambda: report.render(sys.stdout.isatty() and not args.no_colour)}[form]())
+    print({"json": report.to_json, "markdown": lambda: publish.markdown(report, args.show_values), "text": lambda: report.text(sys.stdout.isatty() and not args.no_colour)}[form]())
     if args.slack_webhook:
         try:
             publish.post(args.slack_webhook, publish.slack(report, args.show_values))
@@ -166,7 +166,7 @@ def check(args) -> int:
                 publish.post(target, publish.payload(report, project), {"Authorization": f"Bearer {os.environ.get('VERITAB_TOKEN', '')}"})
             except (OSError, ValueError) as e:
                 print(f"nothing was sent: {e}", file=sys.stderr)
-    return 1 if report.failures or args.fail_on_warn and report.warnings else 0
+    return 1 if report.at(Severity.FAIL) or args.fail_on_warn and report.at(Severity.WARN) else 0
 
 
 def _target(text: str, contract) -> tuple[str, str]:
@@ -183,6 +183,7 @@ def _target(text: str, contract) -> tuple[str, str]:
 def explain(args) -> int:
     from .contract import yaml_io
     from .contract.check import check as check_profile
+    from .contract.findings import written_out
 
     contract = yaml_io.load(args.contract)
     table, column = _target(args.target, contract)
@@ -196,7 +197,7 @@ def explain(args) -> int:
         return 0
     print(f"Measured: {cp.inferred_type.value}, {cp.row_count:,} rows, {cp.null_count:,} null, {cp.distinct_count:,} different" + (f"; {', '.join(cp.observations)}" if cp.observations else ""))
     found = [v for v in check_profile([p], contract).violations if v.table == table and v.column == column]
-    print("\n".join(v.render() for v in found) or "All as the contract says.")
+    print(written_out(found) or "The contract holds.")
     return 0
 
 
@@ -204,6 +205,7 @@ def accept(args) -> int:
     from .contract import yaml_io
     from .contract.check import check as check_profile
     from .contract.generate import column_contract
+    from .contract.model import Severity
 
     contract = yaml_io.load(args.contract)
     run = _Run(args)
@@ -211,7 +213,7 @@ def accept(args) -> int:
     if args.columns:
         targets = [_target(x, contract) for x in args.columns]
     else:
-        targets = sorted({(v.table, v.column) for v in check_profile(list(profiles.values()), contract).failures if v.column})
+        targets = sorted({(v.table, v.column) for v in check_profile(list(profiles.values()), contract).at(Severity.FAIL) if v.column})
     changes = []
     for table, column in targets:
         old, seen = contract.tables[table].columns.get(column), profiles[table].get(column) if table in profiles else None

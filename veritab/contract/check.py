@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from .. import __version__
 from ..model import ColumnProfile, Kind, Seen, TableProfile
-from .findings import Finding, Report, Violation, base_severity, listed, of_rows
+from .findings import Finding, Report, Violation, base_severity, quoted_list, rows_of
 from .generate import date_part
 from .model import ColumnContract, Contract, Severity, TableContract, seconds_of, spoken
 
@@ -102,20 +102,20 @@ class _Column:
         part = sum(odd.values())
         if odd and part >= CONTAMINATION_FLOOR and Seen.MIXED_TYPES.value not in self.c.known_issues:
             self.say(
-                F.TYPE_CONTAMINATED, expected=f"type {want}", found=f"{of_rows(round(part * p.valued_count), p.valued_count)} are of other types: {_mix(p.type_mixture)}",
+                F.TYPE_CONTAMINATED, expected=f"type {want}", found=f"{rows_of(round(part * p.valued_count), p.valued_count)} are of other types: {_mix(p.type_mixture)}",
                 detail="shapes: " + ", ".join(f"{s.shape} ({s.count:,})" for s in p.shapes[:3]), remedy="repair the source, or widen the type", evidence={"expected_type": want, "contamination": round(part, 6), "offending": odd},
             )
 
     def format(self) -> None:
         odd = [s for s in self.p.shapes if s.shape and s.shape not in self.c.formats and (s.rate or 0) >= FOREIGN_SHAPE_RATE]
         if self.c.formats and odd:
-            self.say(F.FORMAT_CHANGED, expected="shapes " + listed(self.c.formats), found=", ".join(f"'{s.shape}', {of_rows(s.count, self.p.valued_count)}" for s in odd[:3]), remedy="repair the source, or add the shape to formats", evidence={"allowed": list(self.c.formats), "found": [s.shape for s in odd]})
+            self.say(F.FORMAT_CHANGED, expected="shapes " + quoted_list(self.c.formats), found=", ".join(f"'{s.shape}', {rows_of(s.count, self.p.valued_count)}" for s in odd[:3]), remedy="repair the source, or add the shape to formats", evidence={"allowed": list(self.c.formats), "found": [s.shape for s in odd]})
 
     def categories(self) -> None:
         c, e = self.c, self.p.enum
         if c.categories is None or not c.categories_closed:
             return
-        want = "only " + listed(c.categories)
+        want = "only " + quoted_list(c.categories)
         if e is None or not e.complete:
             self.say(F.CATEGORIES_UNVERIFIABLE, expected=want, found=f"{self.p.distinct_count:,} different values, more than were listed", remedy="profile with a higher max_enum_cardinality, or open the set")
             return
@@ -124,14 +124,14 @@ class _Column:
         if new:
             self.say(F.NEW_CATEGORY, expected=want, found="also " + ", ".join(f"'{v}' ({have[v]:,} rows)" for v in new[:5]), remedy="add it to categories, or repair the source", evidence={"new_categories": new})
         if gone:
-            self.say(F.CATEGORY_DISAPPEARED, expected="each of " + listed(c.categories), found="without " + listed(gone), remedy="remove it from categories if it is retired", evidence={"missing_categories": gone})
+            self.say(F.CATEGORY_DISAPPEARED, expected="each of " + quoted_list(c.categories), found="without " + quoted_list(gone), remedy="remove it from categories if it is retired", evidence={"missing_categories": gone})
 
     def presence(self) -> None:
         p, c = self.p, self.c
         if c.nullable is False and p.null_count > 0:
-            self.say(F.NULLABILITY_VIOLATED, expected="no nulls", found=of_rows(p.null_count, p.row_count) + " are null", remedy="repair the source, or allow some with max_null_rate", evidence={"null_count": p.null_count, "null_rate": p.null_rate})
+            self.say(F.NULLABILITY_VIOLATED, expected="no nulls", found=rows_of(p.null_count, p.row_count) + " are null", remedy="repair the source, or allow some with max_null_rate", evidence={"null_count": p.null_count, "null_rate": p.null_rate})
         elif c.max_null_rate is not None and (p.null_rate or 0.0) > c.max_null_rate:
-            self.say(F.NULL_RATE_EXCEEDED, expected=f"at most {c.max_null_rate:.1%} nulls", found=of_rows(p.null_count, p.row_count) + " are null", remedy="repair the source, or raise max_null_rate", evidence={"null_rate": p.null_rate, "max_null_rate": c.max_null_rate})
+            self.say(F.NULL_RATE_EXCEEDED, expected=f"at most {c.max_null_rate:.1%} nulls", found=rows_of(p.null_count, p.row_count) + " are null", remedy="repair the source, or raise max_null_rate", evidence={"null_rate": p.null_rate, "max_null_rate": c.max_null_rate})
 
     def uniqueness(self) -> None:
         p = self.p
@@ -176,7 +176,7 @@ class _Column:
         for seen, (kind, patterns, looks) in NEWS.items():
             if self.p.has(seen) and seen.value not in self.c.known_issues:
                 n = max((self.p.pattern_hits.get(k, 0) for k in patterns), default=0)
-                self.say(kind, found=f"{of_rows(n, self.p.valued_count) if n else 'values'} {looks}", remedy="repair the source, or accept it under known_issues", evidence={"observation": seen.value})
+                self.say(kind, found=f"{rows_of(n, self.p.valued_count) if n else 'values'} {looks}", remedy="repair the source, or accept it under known_issues", evidence={"observation": seen.value})
 
     def all(self) -> list[tuple[Finding, dict]]:
         for part in (self.type, self.format, self.categories, self.presence, self.uniqueness, self.range, self.freshness, self.privacy, self.news):

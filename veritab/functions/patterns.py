@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -65,6 +68,45 @@ def chosen(keys: list[str] | None = None) -> tuple[Pattern, ...]:
     return ALL if keys is None else tuple(p for p in ALL if p.key in set(keys))
 
 
+#: What a value must have for its pattern to match, from the value and its length: tests on bytes, made before any regular expression.
+GUARDS: dict[str, Callable[[Column, Column], Column]] = {
+    "iso_date": lambda v, n: n == 10,
+    "iso_datetime": lambda v, n: v.contains(":"),
+    "us_date": lambda v, n: v.contains("/"),
+    "eu_date": lambda v, n: n.between(8, 10),
+    "compact_date": lambda v, n: n == 8,
+    "epoch_seconds": lambda v, n: n == 10,
+    "epoch_millis": lambda v, n: n == 13,
+    "excel_serial": lambda v, n: n == 5,
+    "year_only": lambda v, n: n == 4,
+    "currency": lambda v, n: v.contains("$") | v.contains("€") | v.contains("£") | v.contains("¥"),
+    "percent": lambda v, n: v.endswith("%"),
+    "thousands_separated": lambda v, n: v.contains(","),
+    "scientific": lambda v, n: v.contains("e") | v.contains("E"),
+    "leading_zeros": lambda v, n: v.startswith("0"),
+    "uuid": lambda v, n: n == 36,
+    "json_object": lambda v, n: v.contains("{") | v.contains("["),
+    "url": lambda v, n: v.startswith("http"),
+    "null_word": lambda v, n: n <= 9,
+    "postal_like": lambda v, n: n.isin(5, 10),
+    "email": lambda v, n: v.contains("@"),
+    "email_embedded": lambda v, n: v.contains("@"),
+    "phone_formatted": lambda v, n: n.between(12, 14),
+    "phone_international": lambda v, n: v.startswith("+"),
+    "ssn": lambda v, n: n == 11,
+    "credit_card": lambda v, n: n.between(16, 19),
+    "ipv4": lambda v, n: n.between(7, 15),
+    "iban": lambda v, n: n.between(14, 34),
+}
+
+
+def matches(p: Pattern, v: Column, low: Column, size: Column) -> Column:
+    """Whether p is in a value, given with its lower-case form and its length."""
+    x = low if p.lower else v
+    found = x.rlike(java(p.regex))
+    return GUARDS[p.key](x, size) & found if p.key in GUARDS else found
+
+
 def java(regex: str) -> str:
     """An RE2 expression of this library as Java has to be told it: white space is five characters, $ is the text's end."""
     space = r"\t\n\f\r "

@@ -5,10 +5,14 @@ Casts carry guards, because Spark's are more generous than a profile may be: "20
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType
 
 SHAPE_LENGTH = 40
+#: The characters of the Unicode class of spaces.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 BOOLEAN_WORDS = ("true", "false", "t", "f", "yes", "no", "y", "n", "0", "1")
 #: Years, months and days with - or /, then perhaps a time and a zone.
 MOMENT = r"^[0-9]{1,6}[-/][0-9]{1,2}[-/][0-9]{1,2}([T ][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]+)?)?( ?(Z|UTC|[-+][0-9]{2}(:?[0-9]{2})?))?)?\z"
@@ -45,7 +49,7 @@ def text_columns(df: DataFrame) -> DataFrame:
 
 def trimmed(t: Column) -> Column:
     """t without Unicode spaces at its ends; tabs stay."""
-    return F.regexp_replace(t, r"^\p{Zs}+|\p{Zs}+\z", "")
+    return F.btrim(t, F.lit(SPACES))
 
 
 def valued(t: Column) -> Column:
@@ -55,27 +59,32 @@ def valued(t: Column) -> Column:
 
 def shape(v: Column) -> Column:
     """The first 40 characters with digits as #, ASCII letters as a and white space as _."""
-    s = F.regexp_replace(F.substring(v, 1, SHAPE_LENGTH), "[0-9]", "#")
-    return F.regexp_replace(F.regexp_replace(s, "[A-Za-z]", "a"), r"[\t\n\f\r ]", "_")
+    return F.translate(F.substring(v, 1, SHAPE_LENGTH), string.digits + string.ascii_letters + "\t\n\f\r ", "#" * 10 + "a" * 52 + "_" * 5)
 
 
 def number(v: Column) -> Column:
-    """v as a double, null where it is none."""
-    clean = F.regexp_replace(v, r"(?<=[0-9])_(?=[0-9])", "")
-    return F.when(~clean.rlike(r"[0-9.][dDfF]\z"), clean).try_cast("double")
+    """v as a double, null where it is none. Only what begins like a number, or like its words, is cast."""
+    clean = F.when(v.contains("_"), F.regexp_replace(v, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(v)
+    first = F.ascii(v)
+    typed = (v.endswith("d") | v.endswith("D") | v.endswith("f") | v.endswith("F")) & clean.rlike(r"[0-9.][dDfF]\z")
+    return F.when(((first <= ord("9")) | first.isin(*map(ord, "INin"))) & ~typed, clean).try_cast("double")
+
+
+def _written_moment(v: Column) -> Column:
+    return F.when(F.ascii(v).between(ord("0"), ord("9")) & (v.contains("-") | v.contains("/")) & v.rlike(MOMENT), F.translate(v, "/", "-"))
 
 
 def day(v: Column) -> Column:
-    return F.when(v.rlike(MOMENT), F.translate(v, "/", "-")).try_cast("date")
+    return _written_moment(v).try_cast("date")
 
 
 def moment(v: Column) -> Column:
-    return F.when(v.rlike(MOMENT), F.translate(v, "/", "-")).try_cast("timestamp_ntz")
+    return _written_moment(v).try_cast("timestamp_ntz")
 
 
-def truth(v: Column) -> Column:
-    """Whether v is a word for true or false."""
-    return F.lower(v).isin(*BOOLEAN_WORDS)
+def truth(low: Column) -> Column:
+    """Whether a lower-case value is a word for true or false."""
+    return low.isin(*BOOLEAN_WORDS)
 
 
 def hidden(t: Column) -> Column:

@@ -1,17 +1,21 @@
 """The value histogram and what is computed from it.
 
-Every per-value metric (type probes, patterns, lengths, case, shapes) is a function of a value's text. So a table is turned into rows of
-(column, text, how often) by one shuffle with map-side sums, and each expression is evaluated once for each different value
-instead of once for each row. Columns of long texts, which seldom repeat, skip the histogram: they are
+Every per-value metric (type probes, patterns, lengths, case, shapes) is a function of a value's text. So each column is counted by its
+values, as they are stored, with map-side sums; only different values become text, and each expression is evaluated once for each of
+them instead of once for each row. A column is read, hashed and shuffled by itself, so rows are not multiplied by columns. Columns of
+long texts, which seldom repeat, skip the histogram: they are
 measured row by row, and only digests of their values are shuffled for the distinct count.
 """
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, TimestampNTZType
 
 from ..functions import patterns as P, text as T
 
@@ -31,9 +35,35 @@ def values(df: DataFrame, columns: list[int] | None = None) -> DataFrame:
     return texts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"c{i}").alias("t")) for i in use])).alias("x")).select("x.*")
 
 
+#: Types whose different values have different texts (doubles but for their zeros).
+_PLAIN = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType, DateType, TimestampNTZType, StringType)
+
+
+def _counted(df: DataFrame, i: int) -> DataFrame:
+    """c, t, n of one column."""
+    name, kind = df.columns[i], df.schema[i].dataType
+    x = df.select(F.col(T.quoted(name)).alias("x"))
+    keys = [F.col("x")]
+    if isinstance(kind, (FloatType, DoubleType)):
+        keys.append(F.when(F.col("x") == 0, F.col("x").cast("string")).alias("zero"))  # 0 and -0 are equal, their texts are not
+    out = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    text = T.text_form(F.col("x"), kind)
+    return out.select(F.lit(i).alias("c"), (F.coalesce("zero", text) if len(keys) > 1 else text).alias("t"), "n")
+
+
 def histogram(df: DataFrame, columns: list[int] | None = None) -> DataFrame:
     """(c, t, n): how often each value occurs, null included."""
-    return values(df, columns).groupBy("c", "t").agg(F.count(F.lit(1)).alias("n"))
+    use = list(range(len(df.columns)) if columns is None else columns)
+    plain = [i for i in use if isinstance(df.schema[i].dataType, _PLAIN) and _compared_by_bytes(df.schema[i].dataType)]
+    rest = [i for i in use if i not in plain]
+    parts = [_counted(df, i) for i in plain]
+    if rest or not parts:
+        parts.append(values(df, rest).groupBy("c", "t").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _compared_by_bytes(kind: DataType) -> bool:
+    return not isinstance(kind, StringType) or kind.simpleString() == "string"
 
 
 def rows(df: DataFrame, columns: list[int]) -> DataFrame:
@@ -51,25 +81,30 @@ def long_columns(df: DataFrame, look: int = 200) -> list[int]:
     return [i for i in strings if (got[f"c{i}"] or 0) >= LONG]
 
 
+def with_numbers(h: DataFrame) -> DataFrame:
+    """h with num, the number that each text is: parsed once for all that follows."""
+    return h if "num" in h.columns else h.withColumn("num", T.number(T.valued(F.col("t"))))
+
+
 def prepared(h: DataFrame) -> DataFrame:
-    """h with the forms that metrics are made of: v, num, day, moment."""
-    v = h.withColumn("v", T.valued(F.col("t")))
-    return v.withColumn("num", T.number(F.col("v"))).withColumn("day", T.day(F.col("v"))).withColumn("moment", T.moment(F.col("v")))
+    """h with the forms that metrics are made of: num, v, size, low, up, day, moment."""
+    d = with_numbers(h).withColumn("v", T.valued(F.col("t")))
+    v = F.col("v")
+    return d.select("*", F.length(v).alias("size"), F.lower(v).alias("low"), F.upper(v).alias("up"), T.day(v).alias("day"), T.moment(v).alias("moment"))
 
 
 def _n(when: Column) -> Column:
     return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0).cast("bigint"))
 
 
-def metric_columns(keys: list[str] | None = None, now: Column | None = None, quantiles: bool = True) -> list[Column]:
+def metric_columns(keys: list[str] | None = None, now: Column | None = None) -> list[Column]:
     """The aggregates of prepared rows, for each column."""
-    v, t, num, moment = F.col("v"), F.col("t"), F.col("num"), F.col("moment")
-    low, up, size = F.lower(v), F.upper(v), F.length(v)
+    v, t, num, moment, low, up, size = map(F.col, ("v", "t", "num", "moment", "low", "up", "size"))
     whole = F.rint(num) == num
     now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
     out = [
-        F.sum("n").alias("row_count"), _n(t.isNotNull()).alias("nonnull"), _n(t.isNotNull() & v.isNull()).alias("blank"),
-        _n(num.isNotNull() & whole & ~v.rlike("[.eE]")).alias("probe_integer"), _n(num.isNotNull()).alias("probe_float"), _n(T.truth(v)).alias("probe_boolean"),
+        F.sum("n").alias("row_count"), F.count(t).alias("texts"), _n(t.isNotNull()).alias("nonnull"), _n(t.isNotNull() & v.isNull()).alias("blank"),
+        _n(num.isNotNull() & whole & ~v.rlike("[.eE]")).alias("probe_integer"), _n(num.isNotNull()).alias("probe_float"), _n(T.truth(low)).alias("probe_boolean"),
         _n(F.col("day").isNotNull()).alias("probe_date"), _n(moment.isNotNull()).alias("probe_timestamp"),
         F.min("num").alias("num_min"), F.max("num").alias("num_max"), (F.sum(num * F.col("n")) / F.sum(F.when(num.isNotNull(), F.col("n")))).alias("num_mean"),
         _n(num == 0).alias("num_zero"), _n(num < 0).alias("num_negative"), _n(whole).alias("num_integral"),
@@ -78,20 +113,69 @@ def metric_columns(keys: list[str] | None = None, now: Column | None = None, qua
         F.min(moment).cast("string").alias("ts_min"), F.max(moment).cast("string").alias("ts_max"),
         _n(moment > now).alias("ts_future"), _n(moment < F.lit(DISTANT_PAST).cast("timestamp_ntz")).alias("ts_distant_past"),
     ]
-    if quantiles:
-        out.append(F.percentile(num, F.array(*map(F.lit, QUANTILES)), F.col("n")).alias("num_quantiles"))
-    return out + [_n((low if p.lower else v).rlike(P.java(p.regex))).alias(f"pat_{p.key}") for p in P.chosen(keys)]
-
-
-def metrics(h: DataFrame, keys: list[str] | None = None, now: Column | None = None, quantiles: bool = True) -> DataFrame:
-    """One row for each column c of a histogram, or of rows, with all counts."""
-    return prepared(h).groupBy("c").agg(*metric_columns(keys, now, quantiles))
-
-
-def deviations(h: DataFrame, means: DataFrame) -> DataFrame:
-    """c, num_stddev: the sample deviation around the means (c, num_mean); centred, so nothing cancels."""
-    num = T.number(T.valued(F.col("t")))
-    d = h.join(F.broadcast(means), "c").select("c", "n", (num - F.col("num_mean")).alias("d")).where("d is not null")
+    return out + [_n(P.matches(p, v, low, size)).alias(f"pat_{p.key}") for p in P.chosen(keys)]
+
+
+def metrics(h: DataFrame, keys: list[str] | None = None, now: Column | None = None) -> DataFrame:
+    """One row for each column c of a histogram, or of rows, with all counts; texts is the distinct count of a histogram."""
+    return prepared(h).groupBy("c").agg(*metric_columns(keys, now))
+
+
+def local(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as literals: a table without a Python worker."""
+    fields = [x.split() for x in schema.split(", ")]
+    made = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(k) for v, (k, kind) in zip(r, fields)]) for r in rows])
+    return spark.range(1).select(F.inline(made))
+
+
+def numbers(h: DataFrame, summed: bool = False) -> DataFrame:
+    """c, num, n: the numbers of each column; summed: each different one once."""
+    d = with_numbers(h).where("num is not null").select("c", "num", "n")
+    return d.groupBy("c", "num").agg(F.sum("n").alias("n")) if summed else d
+
+
+def quantiles(ordered: DataFrame, at: tuple[float, ...] = QUANTILES) -> dict[int, list[float]]:
+    """The exact quantiles of each column c, interpolated between neighbours, from `numbers` that `in_order` has dealt by range.
+
+    The driver adds up a count for each part and column; then only parts with a wanted rank are summed up in order. No task holds a column.
+    """
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for r in ordered.groupBy("c", "p").agg(F.sum("n").alias("n")).collect():
+        sums.setdefault(r["c"], []).append((r["p"], r["n"]))
+    wanted: dict[int, list[float]] = {}
+    places = []
+    for c, parts in sums.items():
+        total = sum(n for _, n in parts)
+        wanted[c] = [q * (total - 1) for q in at]
+        below = 0
+        for p, n in sorted(parts):
+            ranks = {k for x in wanted[c] for k in (math.floor(x), math.ceil(x)) if below <= k < below + n}
+            places += [(c, p, k - below, k) for k in sorted(ranks)]
+            below += n
+    if not places:
+        return {}
+    few = local(ordered.sparkSession, places, "c int, p int, k bigint, rank bigint")  # two rows for each column and quantile at most
+    here = ordered.join(F.broadcast(few.select("c", "p").distinct()), ["c", "p"], "left_semi")
+    upto = Window.partitionBy("c", "p").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = here.withColumn("upto", F.sum("n").over(upto))
+    found = run.join(F.broadcast(few), ["c", "p"]).where("upto - n <= k and k < upto").select("c", "rank", "num").collect()
+    of = {(r["c"], r["rank"]): r["num"] for r in found}
+    out = {}
+    for c, xs in wanted.items():
+        low, high = [of[c, math.floor(x)] for x in xs], [of[c, math.ceil(x)] for x in xs]
+        out[c] = [a if a == b else a * (math.ceil(x) - x) + b * (x - math.floor(x)) for x, a, b in zip(xs, low, high)]
+    return out
+
+
+def in_order(numbers: DataFrame) -> DataFrame:
+    """numbers, dealt by range and cached, with the part p of each; to be unpersisted. Equal numbers of different texts meet in a part."""
+    n = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return numbers.repartitionByRange(n, "c", "num").withColumn("p", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def deviations(numbers: DataFrame, means: DataFrame) -> DataFrame:
+    """c, num_stddev: the sample deviation of numbers (c, num, n) around the means (c, num_mean); centred, so nothing cancels."""
+    d = numbers.join(F.broadcast(means), "c").select("c", "n", (F.col("num") - F.col("num_mean")).alias("d"))
     return d.groupBy("c").agg(F.sqrt(F.sum(F.col("d") * F.col("d") * F.col("n")) / F.nullif(F.sum("n") - 1, F.lit(0))).alias("num_stddev"))
 
 

@@ -31,8 +31,8 @@ class ProfileOptions:
     max_enum_cardinality: int = 50
     enum_member_limit: int = 64
     shape_limit: int = 12
-    #: Columns that are unpivoted at a time.
-    column_batch_size: int = 200
+    #: Columns that are counted in one job.
+    column_batch_size: int = 50
     exact_distinct: bool = True
     include_quantiles: bool = True
     patterns: tuple[str, ...] | None = None
@@ -60,43 +60,65 @@ def _now(o: ProfileOptions) -> Column:
 def _measure(m: _Measured, df: DataFrame, columns: list[int], long: bool, o: ProfileOptions) -> None:
     if not columns:
         return
-    h = H.rows(df, columns) if long else H.histogram(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    h = H.rows(df, columns) if long else H.with_numbers(H.histogram(df, columns)).persist(StorageLevel.MEMORY_AND_DISK)
     keys = None if o.patterns is None else list(o.patterns)
     try:
-        for r in H.metrics(h, keys, _now(o), o.include_quantiles).collect():
-            m.stats[r["c"]] = r.asDict()
-        for r in _distinct(h, long, o).collect():
-            m.stats[r["c"]]["distinct"] = r["distinct"]
-        means = [(c, s["num_mean"]) for c, s in m.stats.items() if c in set(columns) and s["num_mean"] is not None]
-        if means:
-            for r in H.deviations(h, df.sparkSession.createDataFrame(means, "c int, num_mean double")).collect():
-                m.stats[r["c"]]["num_stddev"] = r["num_stddev"]
+        for r in H.metrics(h, keys, _now(o)).collect():
+            m.stats[r["c"]] = r.asDict() | {"distinct": r["texts"]}
+        m.queries += 1
+        if long:
+            for r in _distinct(h, o).collect():
+                m.stats[r["c"]]["distinct"] = r["distinct"]
+            m.queries += 1
+        if n := [c for c in columns if c in m.stats and m.stats[c]["num_mean"] is not None]:
+            _numbers(m, H.numbers(h.where(F.col("c").isin(n)), summed=long), n, o)
         shapes = H.shapes(h).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for r in shapes.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect():
                 m.shape_counts[r["c"]] = r["k"]
-            for r in H.top(shapes, "shape", o.shape_limit).orderBy("c", "rank").collect():
+            for r in sorted(H.top(shapes, "shape", o.shape_limit).collect(), key=lambda r: (r["c"], r["rank"])):
                 m.shapes.setdefault(r["c"], []).append((r["shape"], r["n"]))
+            m.queries += 2
         finally:
             shapes.unpersist()
         few = [c for c in columns if c in m.stats and _enumerable(m.stats[c], o)]
         if few:
             # at most max_enum_cardinality values a column pass the filter
-            counts = h.where(F.col("c").isin(few) & F.col("t").isNotNull()).groupBy("c", "t").agg(F.sum("n").alias("n"))
-            for r in H.top(counts, "t", max(o.enum_member_limit, o.max_enum_cardinality)).orderBy("c", "rank").collect():
-                m.members.setdefault(r["c"], []).append((r["t"], r["n"]))
+            counts = h.where(F.col("c").isin(few) & F.col("t").isNotNull())
+            counts = counts.groupBy("c", "t").agg(F.sum("n").alias("n")) if long else counts.select("c", "t", "n")
+            most = max(o.enum_member_limit, o.max_enum_cardinality)
+            for r in sorted(counts.collect(), key=lambda r: (r["c"], -r["n"], r["t"])):
+                if len(own := m.members.setdefault(r["c"], [])) < most:
+                    own.append((r["t"], r["n"]))
+            m.queries += 1
         if o.privacy is Privacy.FULL and o.samples:
             for r in H.samples(h, o.samples).orderBy("c", "rank").collect():
                 m.samples.setdefault(r["c"], []).append(r["v"])
-        m.queries += 4 + bool(means) + bool(few) + (o.privacy is Privacy.FULL)
+            m.queries += 1
     finally:
         if not long:
             h.unpersist()
 
 
-def _distinct(h: DataFrame, long: bool, o: ProfileOptions) -> DataFrame:
-    if not long:
-        return H.distinct(h)
+def _numbers(m: _Measured, numbers: DataFrame, columns: list[int], o: ProfileOptions) -> None:
+    """Deviations and quantiles of the columns that have numbers."""
+    numbers = H.in_order(numbers) if o.include_quantiles else numbers
+    try:
+        if o.include_quantiles:
+            for c, q in H.quantiles(numbers).items():
+                m.stats[c]["num_quantiles"] = q
+            m.queries += 2
+        means = [(c, m.stats[c]["num_mean"]) for c in columns]
+        for r in H.deviations(numbers, H.local(numbers.sparkSession, means, "c int, num_mean double")).collect():
+            m.stats[r["c"]]["num_stddev"] = r["num_stddev"]
+        m.queries += 1
+    finally:
+        if o.include_quantiles:
+            numbers.unpersist()
+
+
+def _distinct(h: DataFrame, o: ProfileOptions) -> DataFrame:
+    """Of rows, which repeat."""
     if o.exact_distinct:
         return H.distinct_rows(h)
     return h.groupBy("c").agg(F.approx_count_distinct("t").alias("distinct"))

@@ -87,6 +87,6 @@ def payload(report: Report, project: str, git: dict[str, str] | None = None) ->
     """A run as counts, names, types and severities."""
     return {
         "schema": 1, "project": project,
-        "run": {"at": report.checked_at, "version": report.version, "ok": report.ok, "tables_checked": report.tables_checked, "columns_checked": report.columns_checked, "failed": len(report.failures), "warned": len(report.warnings), "git": git or {}},
+        "run": {"at": report.checked_at, "version": report.version, "git": git or {}, **{k: report.summary()[k] for k in ("ok", "tables_checked", "columns_checked", "failed", "warned")}},
         "findings": [{"type": v.type.value, "table": v.table, "column": v.column, "severity": v.severity.value, "metrics": _numbers(v.evidence)} for v in report.violations],
     }

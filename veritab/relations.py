@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .contract.findings import Finding, Violation, base_severity
+from .contract.findings import Finding, Violation, base_severity, place
 from .contract.model import Cardinality, Contract, Relationship, Severity
 from .functions import text as T
 from .model import TableProfile
@@ -161,7 +161,7 @@ def _story(m: RelationshipMeasurement) -> str:
 
 def check_relationships(contract: Contract, measured: list[RelationshipMeasurement], existing: list[Violation] | None = None) -> list[Violation]:
     """Findings; a parent whose lost uniqueness is already told does not fan out a second time."""
-    told = {(v.type, v.target) for v in existing or []}
+    told = {(v.type, place(v)) for v in existing or []}
     out: list[Violation] = []
 
     def add(r: Relationship, kind: Finding, table: str, column: str, **words) -> None:
