@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, table
 
-#: Entries of the cache of words, and half as many of the cache of fragments; a full cache is emptied. About 80 MB.
-CACHE = 300_000
+#: Entries of the cache of words, and half as many of the cache of fragments; a full cache is emptied. About 55 MB.
+CACHE = 200_000
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
