@@ -21,7 +21,7 @@ from veritab.relations import check_relationships, infer_relationships, measure
 from veritab.rules.grammar import RuleError, columns_of, parse_rule, validate_rule
 from veritab.rules.measure import check_rules, measure_rules
 from veritab.sources import dbt
-from veritab.sources.resolve import SourceError, display_name, expand_env, jdbc_options, matching, resolve
+from veritab.sources.resolve import SourceError, display_name, expand_env, jdbc_options, matching, read_jdbc, resolve
 
 
 def frame(spark, rows):
@@ -447,6 +447,26 @@ def test_dbt(tmp_path):
         dbt.load_manifest(str(tmp_path / "none.json"))
 
 
+def test_csv_is_split_unless_values_have_line_ends(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x ""y"" z"\n2,w\n')
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n2,w\n')
+    plain, broken = resolve(str(tmp_path / "plain.csv"), spark), resolve(str(tmp_path / "broken.csv"), spark)
+    assert [tuple(r) for r in plain.text.collect()] == [("1", 'x "y" z'), ("2", "w")]
+    assert [tuple(r) for r in broken.text.collect()] == [("1", "x\ny"), ("2", "w")] and broken.declared["a"] == "bigint"
+
+
+def test_databases_are_read_in_ranges(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    given = {"url": url, "dbtable": "numbers", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    try:
+        spark.range(100).selectExpr("cast(id as int) AS id", "cast(id * 2 as int) AS x").write.format("jdbc").options(**given).save()
+    except Exception as e:
+        pytest.skip(f"no database here: {str(e)[:80]}")
+    got = read_jdbc(spark, given, {"partitionColumn": "id", "numPartitions": 5})
+    assert got.rdd.getNumPartitions() == 5 and got.count() == 100 and read_jdbc(spark, given).rdd.getNumPartitions() == 1
+    assert profile(got, "numbers").row_count == 100
+
+
 # ── reports and the command line ─────────────────────────────────────────────
 
 

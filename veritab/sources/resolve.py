@@ -9,7 +9,7 @@ import re
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PARQUET, JSON, TABS = (".parquet", ".pq"), (".json", ".ndjson", ".jsonl"), (".tsv",)
 SYSTEM_SCHEMAS = frozenset("information_schema pg_catalog pg_toast sys mysql performance_schema sqlite_master temp".split())
@@ -55,8 +55,15 @@ def _scheme(uri: str) -> str:
     return m[1].lower() if m else ""
 
 
-def _csv(spark: SparkSession, path: str, options: dict, tabs: bool, infer: bool) -> DataFrame:
-    given = {"header": True, "multiLine": True, "escape": '"', "sep": "\t" if tabs else ",", "inferSchema": infer} | {{"delim": "sep", "delimiter": "sep"}.get(k, k): v for k, v in options.items()}
+def _broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a value may go on in the next line: a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _csv(spark: SparkSession, path: str, options: dict, tabs: bool, infer: bool, whole: bool) -> DataFrame:
+    """whole: read files as a whole, each by one task, because lines do not end records."""
+    given = {"header": True, "multiLine": whole, "escape": '"', "sep": "\t" if tabs else ",", "inferSchema": infer} | {{"delim": "sep", "delimiter": "sep"}.get(k, k): v for k, v in options.items()}
     return spark.read.options(**given).csv(path)
 
 
@@ -69,9 +76,10 @@ def _files(spark: SparkSession, uri: str, path: str, options: dict) -> Source:
         if "_corrupt_record" in df.columns:  # not a value on each line: an array
             df = spark.read.options(**options | {"multiLine": True}).json(path)
     else:
-        df = _csv(spark, path, options, kind in TABS, False)
+        whole = options["multiLine"] if "multiLine" in options else _broken_lines(spark, path)
+        df = _csv(spark, path, options, kind in TABS, False, whole)
         # the types are looked at, the values are not used
-        inferred = dict(_csv(spark, path, options, kind in TABS, True).dtypes)
+        inferred = dict(_csv(spark, path, options, kind in TABS, True, whole).dtypes)
         return Source(display_name(uri), uri, df, {k: "bigint" if v == "int" else v for k, v in inferred.items()})
     return Source(display_name(uri), uri, df, dict(df.dtypes))
 
@@ -88,6 +96,23 @@ def jdbc_options(uri: str, table: str) -> dict[str, str]:
     return out | ({"user": parts.username} if parts.username else {}) | ({"password": parts.password} if parts.password else {}) | query
 
 
+def read_jdbc(spark: SparkSession, given: dict[str, str], options: dict | None = None) -> DataFrame:
+    """A table by JDBC. With a partitionColumn among the options it is read in numPartitions ranges of that column, whose bounds are asked for unless given."""
+    o = given | {k: str(v) for k, v in (options or {}).items()}
+    column = o.get("partitionColumn")
+    if column and not {"lowerBound", "upperBound"} <= o.keys():
+        ask = {k: v for k, v in o.items() if k not in ("partitionColumn", "numPartitions", "lowerBound", "upperBound")}
+        quote = "`" if ":mysql:" in o["url"] else '"'
+        name = quote + column.strip(quote) + quote
+        low, high = spark.read.format("jdbc").options(**ask | {"dbtable": f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {o['dbtable']}) q"}).load().first()
+        if low is None:  # no rows, or only nulls: there is nothing to part
+            return spark.read.format("jdbc").options(**ask).load()
+        o |= {"lowerBound": str(low), "upperBound": str(high)}
+    if column:
+        o.setdefault("numPartitions", str(spark.sparkContext.defaultParallelism))
+    return spark.read.format("jdbc").options(**o).load()
+
+
 def resolve(source: str, spark: SparkSession, name: str | None = None, options: dict | None = None) -> Source:
     """The data of a source.
 
@@ -105,8 +130,7 @@ def resolve(source: str, spark: SparkSession, name: str | None = None, options:
     elif kind in JDBC or kind == "bigquery":
         if not table:
             raise SourceError(f"{source}: name the table after #")
-        reader = spark.read.format("bigquery").options(parentProject=urlsplit(uri).netloc, table=table) if kind == "bigquery" else spark.read.format("jdbc").options(**jdbc_options(uri, table))
-        df = reader.load()
+        df = spark.read.format("bigquery").options(parentProject=urlsplit(uri).netloc, table=table).load() if kind == "bigquery" else read_jdbc(spark, jdbc_options(uri, table), options)
         out = Source(display_name(table.replace(".", "_") + "."), source, df, dict(df.dtypes))
     elif kind in ("http", "https"):
         raise SourceError(f"{source}: Spark reads no {kind}; copy the file to a store first")
