@@ -149,7 +149,7 @@ def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, prior: float =
     """
     keep = Scratch(rows.sparkSession, "mcd")
     s = rows.where("not base_failed").select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *[f"x{i}" for i in range(1, DIMS + 1)])
-    level = keep.written(s.select("lang", "source").distinct().select("lang", "source", _name("s").alias("gs"), _name("l").alias("gl")), "levels")
+    level = keep.written(s.select("lang", "source").distinct().select("lang", "source", _name("s").alias("gs"), _name("l").alias("gl"), F.lit("a").alias("ga")), "levels")
     grouped = keep.written(_groups(s).select("g", *[f"x{i}" for i in range(1, DIMS + 1)]), "grouped")
     starts = grouped.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("start")).where("start = 0 or (x3 < 0.1 and x4 < 0.1 and x5 < 0.2)")
     p = keep.written(_estimates(_moments(starts, ["g", "start"]), ["g", "start"]), "start")
@@ -174,7 +174,7 @@ def fit(rows: DataFrame, steps: int = STEPS, core: float = CORE, prior: float =
         near = _distance(grouped.join(_few(keep.written(best, "best")), "g")).where(F.col("d2") / consistency(core) <= NEAR_CUT)
     m = keep.written(_moments(near, ["g"]), "moments")
     of = lambda name: m.select(F.col("g").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _SUMS])
-    j = level.join(_few(of("gs")), "gs").join(_few(of("gl")), "gl").crossJoin(F.broadcast(of("ga").where("ga = 'a'")))
+    j = level.join(_few(of("gs")), "gs").join(_few(of("gl")), "gl").join(_few(of("ga")), "ga")
     # each level's moments, and those of the next one as `prior` rows more
     j = _let(j, **{f"up_{c}": f"gl_{c} + {float(prior)!r}D * ga_{c} / ga_n" for c in _SUMS})
     j = _let(j, **{c: f"gs_{c} + {float(prior)!r}D * up_{c} / up_n" for c in _SUMS})
