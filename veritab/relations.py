@@ -142,11 +142,11 @@ def measure(r: Relationship, child: DataFrame | None, parent: DataFrame | None)
         for df, table, column in ((child, r.from_table, r.from_column), (parent, r.to_table, r.to_column)):
             if df is None or column not in df.columns:
                 raise LookupError(f"there is no {table if df is None else f'{table}.{column}'}")
-        counts = orphans(child, r.from_column, parent, r.to_column).crossJoin(parents(parent, r.to_column)).first()
+        counts = orphans(child, r.from_column, parent, r.to_column).first().asDict() | parents(parent, r.to_column).first().asDict()
     except (LookupError, PySparkException) as e:
         out.error = str(e.args[0] if isinstance(e, LookupError) else e).split("\n")[0]
         return out
-    for k, v in counts.asDict().items():
+    for k, v in counts.items():
         setattr(out, k, v)
     return out
 
