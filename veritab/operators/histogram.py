@@ -83,7 +83,10 @@ def long_columns(df: DataFrame, look: int = 200) -> list[int]:
 
 def with_numbers(h: DataFrame) -> DataFrame:
     """h with num, the number that each text is: parsed once for all that follows."""
-    return h if "num" in h.columns else h.withColumn("num", T.number(T.valued(F.col("t"))))
+    if "num" in h.columns:
+        return h
+    # in two steps: the number is made of the trimmed text several times over
+    return h.withColumn("v", T.valued(F.col("t"))).withColumn("num", T.number(F.col("v"))).drop("v")
 
 
 def prepared(h: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def prepared(h: DataFrame) -> DataFrame:
 
 
 def _n(when: Column) -> Column:
-    return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0).cast("bigint"))
+    return F.sum(F.when(when, F.col("n")).otherwise(F.lit(0).cast("bigint")))
 
 
 def metric_columns(keys: list[str] | None = None, now: Column | None = None) -> list[Column]:
@@ -128,6 +131,17 @@ def local(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(made))
 
 
+#: Aggregates that are made in one pass: the code of more would be too large to be compiled.
+AT_ONCE = 14
+
+
+def metric_parts(h: DataFrame, keys: list[str] | None = None, now: Column | None = None) -> list[DataFrame]:
+    """`metrics` in several tables, each of some of the counts."""
+    columns = metric_columns(keys, now)
+    p = prepared(h)
+    return [p.groupBy("c").agg(*columns[i : i + AT_ONCE]) for i in range(0, len(columns), AT_ONCE)]
+
+
 def numbers(h: DataFrame, summed: bool = False) -> DataFrame:
     """c, num, n: the numbers of each column; summed: each different one once."""
     d = with_numbers(h).where("num is not null").select("c", "num", "n")

@@ -63,9 +63,13 @@ def _measure(m: _Measured, df: DataFrame, columns: list[int], long: bool, o: Pro
     h = H.rows(df, columns) if long else H.with_numbers(H.histogram(df, columns)).persist(StorageLevel.MEMORY_AND_DISK)
     keys = None if o.patterns is None else list(o.patterns)
     try:
-        for r in H.metrics(h, keys, _now(o)).collect():
-            m.stats[r["c"]] = r.asDict() | {"distinct": r["texts"]}
-        m.queries += 1
+        for part in H.metric_parts(h, keys, _now(o)):
+            for r in part.collect():
+                m.stats.setdefault(r["c"], {}).update(r.asDict())
+            m.queries += 1
+        for c in columns:
+            if c in m.stats:
+                m.stats[c]["distinct"] = m.stats[c]["texts"]
         if long:
             for r in _distinct(h, o).collect():
                 m.stats[r["c"]]["distinct"] = r["distinct"]
