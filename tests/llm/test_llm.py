@@ -540,6 +540,50 @@ def test_prefixes_of_similar_sets_meet_and_sketches_bound():
                 assert any(set(dedup_join.prefix(a, x, hot)[0].tolist()) & set(dedup_join.prefix(b, x, hot)[0].tolist()) for x in set(dedup_join.bands(len(a))) & set(dedup_join.bands(len(b))))
 
 
+def test_bytes_of_a_signature(spark):
+    """Signatures go to their buckets with few bytes, also where a set's signatures are spread over many buckets."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([100, 300, 1000, 6000]))) for _ in range(120)]
+    sets = dedup_join.shingles([t.encode() for t in texts])
+    place, n = dedup_join.places([(len(s), len(s)) for s in sets], None, 64)
+    assert sum(k for _, k in place.values()) == n and {a for a, _ in place.values()} >= {0} and [a for a, _ in place.values()] == [0, *np.cumsum([k for _, k in place.values()])[:-1].tolist()]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    hot = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    rows = dedup_join._blobs(docs, place, n, hot, None, 5).collect()
+    want = Counter()
+    for s in sets:
+        for blocks in dedup_join.bands(len(s)):
+            i = dedup_join._set_id(s)
+            want.update((place[blocks][0] + int(x) % place[blocks][1], int(x) >> 32, i) for x in dedup_join.prefix(s, blocks, hot.value)[0])
+    got = Counter()
+    for b in rows:
+        ids = np.repeat(np.frombuffer(b["ids"], np.int64), np.frombuffer(b["runs"], np.uint8))
+        got.update((b["bucket"], x, i) for x, i in zip(np.frombuffer(b["sigs"], np.uint32).tolist(), ids.tolist()))
+    assert got == want
+    # it was 8 bytes, and 12 more for each set in each bucket
+    assert sum(len(b["sigs"]) + len(b["ids"]) + len(b["runs"]) for b in rows) < 5 * sum(want.values())
+
+
+def test_long_texts_whose_runs_are_cut(spark):
+    r = random.Random(6)
+    w = [f"w{r.randrange(10**6)}" for _ in range(9000)]
+    near, far = [*w], [f"v{r.randrange(10**6)}" for _ in range(9000)]
+    near[::60] = ["new"] * len(near[::60])
+    rows = [(i, " ".join(x)) for i, x in enumerate([w, near, far, far[:-900]])]
+    got = dedup_join.cluster(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 0), (2, 2), (3, 2)]
+    run_of, runs = dedup_join._runs(np.array([1, 255, 256, 700]))
+    assert np.bincount(run_of, runs).tolist() == [1, 255, 256, 700] and len(runs) == 7
+
+
+def test_signatures_that_share_a_half_give_candidates(spark):
+    """Blocks of one bucket that share the bits that are sent are one block, whose members all meet."""
+    ids = np.array([dedup_join._set_id(np.arange(k, k + 100, dtype=np.uint64)) for k in range(3)])
+    blobs = [(3, bytearray(np.array([7, 7, 7], np.uint32).tobytes()), bytearray(ids.tobytes()), bytearray([1, 1, 1]))]
+    out = dedup_join._candidates(spark.createDataFrame(blobs, "bucket bigint, sigs binary, ids binary, runs binary"), 8).collect()
+    assert sorted(sorted((r["u"], r["v"])) for r in out) == sorted(sorted(ids[[i, j]].tolist()) for i, j in ((0, 1), (0, 2), (1, 2)))
+
+
 def test_near_is_the_plain_filter():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 1 << 63, int(r.integers(1, 300))).astype(np.uint64)) for _ in range(25)]

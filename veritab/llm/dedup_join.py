@@ -46,8 +46,8 @@ BROADCAST_IDS = 1_000_000
 HOT_SHARE, HOT_LEAST = 5e-4, 30
 #: Shingles that are counted at a time.
 COUNTED = 2_000_000
-#: Bytes of signatures and ids of a bucket, about.
-BUCKET_BYTES = 16 << 20
+#: Signatures of a bucket, about. By its 32 bits there, one in some two thousand meets another by chance: a candidate more.
+BUCKET_SIGNATURES = 2_000_000
 #: Size classes that similar sets can be apart, and texts that are compared with a hub in one task.
 NEAR_CLASSES, HUB_TEXTS = 5, 64
 #: Rounds of stars around other members before what is left is compared as sketches, and sets of a side of a family then.
@@ -182,13 +182,34 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id bigint, n bigint, set_id bigint, bits binary, thin binary, weak boolean, h bigint, k bigint")
 
 
-def _blobs(docs: DataFrame, n_buckets: int, hot, weak_sizes: tuple[int, int] | None, words: int) -> DataFrame:
-    """bucket, sigs, ids, runs: packed signatures by set, the ids of the sets and how many signatures each has; bucket is at or over n_buckets for salted ones."""
+def places(sizes: list[tuple[int, int]], weak_sizes: tuple[int, int] | None, wanted: int) -> tuple[dict[int, tuple[int, int]], int]:
+    """({band: its first bucket and how many it has}, number of buckets), of about `wanted` buckets by the bands' numbers of signatures.
+
+    Signatures of different bands never meet, so the id of a set has to go to the buckets of its own bands only. sizes: (the greatest size of a
+    size class, shingles of all its sets).
+    """
+    volume = dict.fromkeys([0, *(1 << k for k in range(SMALL.bit_length() - 1, max([n for n, _ in sizes], default=0).bit_length()))], 0)
+    for n, all_ in sizes:
+        for blocks in {*bands(n), *([0] if weak_sizes else [])}:
+            volume[blocks] += all_ // 3 + 1
+    total = max(1, sum(volume.values()))
+    out, first = {}, 0
+    for blocks, k in volume.items():
+        out[blocks] = first, max(1, round(wanted * k / total))
+        first += out[blocks][1]
+    return out, first
+
+
+def _blobs(docs: DataFrame, place: dict[int, tuple[int, int]], n_buckets: int, hot, weak_sizes: tuple[int, int] | None, words: int) -> DataFrame:
+    """bucket, sigs, ids, runs: packed signatures by set, the ids of the sets and how many signatures each has (255 at most; the id is there again for more).
+
+    bucket is at or over n_buckets for salted ones, whose signatures are whole; others are cut to the upper half.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = hot.value
         for b in batches:
-            sig, ids, often = [], [], []
+            sig, ids, often, bucket = [], [], [], []
             done = set()
             for s in shingles(utf8(b["text"]), words):
                 if not len(s) or (i := _set_id(s)) in done:
@@ -202,10 +223,10 @@ def _blobs(docs: DataFrame, n_buckets: int, hot, weak_sizes: tuple[int, int] | N
                     sig.append(x)
                     often.append(f)
                     ids.append(np.full(len(x), i, np.int64))
+                    bucket.append(place[blocks][0] + (x % U(place[blocks][1])).astype(np.int64))
             if not sig:
                 continue
-            sig, ids, often = np.concatenate(sig), np.concatenate(ids), np.concatenate(often)
-            bucket = (sig % U(n_buckets)).astype(np.int64)
+            sig, ids, often, bucket = np.concatenate(sig), np.concatenate(ids), np.concatenate(often), np.concatenate(bucket)
             bucket[often] = n_buckets + (bucket[often] + ids[often]) % n_buckets
             order = np.argsort(bucket, kind="stable")  # within a bucket by set
             sig, ids, bucket = sig[order], ids[order], bucket[order]
@@ -214,19 +235,28 @@ def _blobs(docs: DataFrame, n_buckets: int, hot, weak_sizes: tuple[int, int] | N
             for x, y in zip(cut, [*cut[1:], len(bucket)]):
                 own = ids[x:y]
                 new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                out.append((sig[x:y].tobytes(), own[new].tobytes(), np.diff(np.append(new, y - x)).astype(np.uint32).tobytes()))
+                run_of, runs = _runs(np.diff(np.append(new, y - x)))
+                out.append(((sig[x:y] if bucket[x] >= n_buckets else (sig[x:y] >> U(32)).astype(np.uint32)).tobytes(), own[new][run_of].tobytes(), runs.tobytes()))
             yield pd.DataFrame({"bucket": bucket[cut], **{c: list(v) for c, v in zip(("sigs", "ids", "runs"), zip(*out))}})
 
     return docs.select("text").mapInPandas(run, "bucket bigint, sigs binary, ids binary, runs binary")
 
 
+def _runs(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which run, length) of runs that are cut to lengths of one byte."""
+    cuts = -(-lengths // 255)
+    out = np.full(cuts.sum(), 255, np.uint8)
+    out[np.cumsum(cuts) - 1] = lengths - 255 * (cuts - 1)
+    return np.repeat(np.arange(len(lengths)), cuts), out
+
+
 def _candidates(blobs: DataFrame, n_buckets: int) -> DataFrame:
     """u, v: pairs of set ids whose sizes match. Rows with sig: u is a member of a block that gave a star, whose hub is v."""
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         salted = key[0] >= n_buckets
-        sig = np.concatenate([np.frombuffer(x, U) for x in rows["sigs"]])
-        ids = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in rows["runs"]]))
+        sig = np.concatenate([np.frombuffer(x, U if salted else np.uint32) for x in rows["sigs"]])
+        ids = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]]), np.concatenate([np.frombuffer(x, np.uint8) for x in rows["runs"]]))
         order = np.argsort(sig, kind="stable")
         sig, ids = sig[order], ids[order]
         cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -243,7 +273,7 @@ def _candidates(blobs: DataFrame, n_buckets: int) -> DataFrame:
                 u.append(m[x])
                 v.append(m[y])
             else:
-                stars.append((sig[a], m))
+                stars.append((sig[a] if salted else U(key[0]) << U(32) | U(sig[a]), m))
                 u.append(np.full(len(m) - 1, m[0]))
                 v.append(m[1:])
         u, v = np.concatenate(u), np.concatenate(v)
@@ -422,14 +452,17 @@ def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
     of_doc = seen.where("n is not null")
     kinds = of_doc.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"), F.first("thin").alias("thin"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     kinds = keep.written(kinds.where("first is not null"), "kinds")
-    total, volume, lowest, highest = of_doc.agg(F.count(F.lit(1)), F.sum("n"), F.min(F.when(F.col("weak"), F.col("n"))), F.max(F.when(F.col("weak"), F.col("n")))).first()
+    total, lowest, highest = of_doc.agg(F.count(F.lit(1)), F.min(F.when(F.col("weak"), F.col("n"))), F.max(F.when(F.col("weak"), F.col("n")))).first()
     least = max(HOT_LEAST, int(total * HOT_SHARE))
     # at most the mean number of shingles / HOT_SHARE hashes, whatever the number of documents
     frequent = seen.where("h is not null").groupBy("h").agg(F.sum("k").alias("k")).where(F.col("k") >= least).select("h").toPandas()["h"].to_numpy(np.int64)
     hot = spark.sparkContext.broadcast(np.sort(frequent.view(U)))
-    # about half as many signatures as shingles, of 16 bytes with the id
-    n_buckets = parts_for(8 * (volume or 0), BUCKET_BYTES, spark)
-    found = keep.written(_candidates(_blobs(docs.where("doc_id is not null"), n_buckets, hot, (lowest, highest) if lowest else None, words), n_buckets), "candidates")
+    weak_sizes = (lowest, highest) if lowest else None
+    # a row for each size class
+    sizes = of_doc.where("n > 0").groupBy(F.col("set_id").bitwiseAND(255).alias("size")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).collect()
+    # about half as many signatures as shingles
+    place, n_buckets = places([(r["n"], r["all"]) for r in sizes], weak_sizes, parts_for(sum(r["all"] for r in sizes) // 2, BUCKET_SIGNATURES, spark))
+    found = keep.written(_candidates(_blobs(docs.where("doc_id is not null"), place, n_buckets, hot, weak_sizes, words), n_buckets), "candidates")
     # a block and a member meet in one bucket only, so these rows are distinct
     stars = found.where("sig is not null").select("sig", "u")
     # hubs of a salted block are joined by a star of their own
